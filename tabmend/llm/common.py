@@ -10,11 +10,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text hashed at once; longer texts are cut at white space.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: A-Z to a-z, every other byte unchanged.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+#: Rows and bytes that a Python worker gets at once, so that long texts don't add up.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session; a smaller setting stays."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key)
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

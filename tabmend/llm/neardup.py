@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabmend.llm.common import TokenHasher, materialize, mix, sequence_keys, shingle_hashes
+from tabmend.llm.common import TokenHasher, materialize, mix, sequence_keys, shingle_hashes, small_batches
 
 #: At 85 % similarity the chance that no band agrees is (1 - 0.85^5)^25, below one in a million.
 BIN_BITS, BANDS, ROWS = 7, 25, 5
@@ -190,6 +190,7 @@ def _near_size(percent: int, x: str, y: str):
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, k: int = 5) -> DataFrame:
     """One row per row of df: id, n_shingles, component_id, kept. percent: the least similarity of a link."""
     spark = df.sparkSession
+    small_batches(spark)
     id_type = df.schema[id_col].dataType
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     shape = T.StructType().add("id", id_type).add("node", "binary").add("n_shingles", "long").add("bands", T.ArrayType(T.LongType()))

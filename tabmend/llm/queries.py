@@ -5,7 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tabmend.llm.common import read
+from pyspark.sql import functions as F
+
+from tabmend.llm.labelled import remainder
 from tabmend.llm.neardup import near_duplicates
+from tabmend.llm.quality import quality_scores
+from tabmend.llm.toxicity import decided, toxicity_scores
+
+
+def _classified(spark: SparkSession, sf_dir: str, scores, threshold: float) -> DataFrame:
+    docs, held = read(spark, sf_dir, "documents"), remainder("doc_id", 4) == 2
+    labels = read(spark, sf_dir, "labels").filter(~held)
+    out = scores(docs.select("doc_id", "text"), docs, labels)
+    return decided(out, threshold).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op1_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, toxicity_scores, 0.3)
+
+
+def op5_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, quality_scores, 0.7)
 
 
 def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +33,8 @@ def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity_fm": op1_toxicity_fm,
+    "op5_quality_nbsvm": op5_quality_nbsvm,
     "op6_minhash_neardup": op6_minhash_neardup,
 }
 
@@ -20,10 +42,10 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op6_minhash_neardup": r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents),
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-    ELSE list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w),
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w),
 n AS (SELECT w.doc_id, count(g) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY 1),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
