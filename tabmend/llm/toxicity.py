@@ -4,7 +4,8 @@ A text's terms are its distinct lower-cased words and their first four and five
 letters, hashed to 2^18 ids. The machine adds a weight for each term and, for
 each pair of terms, the product of their factors, so it learns what only two
 terms together say. It is fitted by AdaGrad on a bounded sample of labelled
-documents (`bound`); terms seen in fewer than MIN_DOCS of them carry nothing.
+documents (`bound`). Terms in fewer than MIN_DOCS of them, or whose share among
+toxic texts differs from the rest by under MIN_Z standard errors, carry nothing.
 
 Results in odd cases: null and empty texts get the score of a text without terms;
 repeated rows get equal scores; without labelled rows every score is 0; labels of
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tabmend.llm.labelled import sample, scored
 
-BITS, FACTORS, MIN_DOCS = 18, 4, 3
+BITS, FACTORS, MIN_DOCS, MIN_Z = 18, 4, 3, 2.5
 BOUND = 8000
 #: Words whose ids a task remembers.
 REMEMBERED = 400_000
@@ -56,14 +57,14 @@ def term_features():
 class FactorizationMachine:
     """Logistic loss, AdaGrad in small batches; a fixed seed makes fits repeatable."""
 
-    def __init__(self, epochs: int = 5, rate: float = 0.08, l2: float = 1e-5, batch: int = 64) -> None:
+    def __init__(self, epochs: int = 12, rate: float = 0.1, l2: float = 1e-4, batch: int = 64) -> None:
         self.epochs, self.rate, self.l2, self.batch = epochs, rate, l2, batch
         self.bias, self.w, self.v = -20.0, np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, FACTORS), np.float32)
 
     def fit(self, y: np.ndarray, rows: list[np.ndarray]) -> FactorizationMachine:
         if not len(y):
             return self
-        seen = np.bincount(np.concatenate(rows), minlength=1 << BITS) >= MIN_DOCS
+        seen = self._telling(y, rows)
         rng = np.random.default_rng(7)
         self.v = (rng.normal(0, 0.01, self.v.shape) * seen[:, None]).astype(np.float32)
         rows = [r[seen[r]] for r in rows]
@@ -94,6 +95,16 @@ class FactorizationMachine:
         self.w[~seen] = 0
         return self
 
+    @staticmethod
+    def _telling(y: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+        count = np.bincount(np.concatenate(rows), minlength=1 << BITS)
+        toxic = np.bincount(np.concatenate([rows[i] for i in np.flatnonzero(y)] or [np.empty(0, np.int32)]), minlength=1 << BITS)
+        up, n = max(1, int(y.sum())), len(y)
+        down = max(1, n - up)
+        share = (count + 0.5) / (n + 1)
+        z = (toxic / up - (count - toxic) / down) / np.sqrt(share * (1 - np.minimum(share, 0.999)) * (1 / up + 1 / down))
+        return (count >= MIN_DOCS) & (np.abs(z) >= MIN_Z)
+
     def score(self, ids: np.ndarray) -> float:
         v = self.v[ids]
         sums = v.sum(0)
