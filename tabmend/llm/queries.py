@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabmend.llm.labelled import remainder
 from tabmend.llm.neardup import near_duplicates
+from tabmend.llm.packing import byte_pair_encoder, pack
 from tabmend.llm.quality import quality_scores
 from tabmend.llm.toxicity import decided, toxicity_scores
 
@@ -32,10 +33,26 @@ def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def encoder(path: str | None = None):
+    """A maker of encoders by the vocabulary file at `path`, which by default the executor's own public_tokenizers names."""
+
+    def make():
+        import public_tokenizers
+
+        return byte_pair_encoder(path or public_tokenizers.path("byte_bpe_50k.json"))
+
+    return make
+
+
+def op9_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), encoder())
+
+
 QUERIES = {
     "op1_toxicity_fm": op1_toxicity_fm,
     "op5_quality_nbsvm": op5_quality_nbsvm,
     "op6_minhash_neardup": op6_minhash_neardup,
+    "op9_cutting_stock_packing": op9_cutting_stock_packing,
 }
 
 #: DuckDB SQL for the queries that it can express.
