@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabmend.llm.labelled import remainder
 from tabmend.llm.neardup import near_duplicates
+from tabmend.llm.ngram_lm import lm_scores
 from tabmend.llm.packing import byte_pair_encoder, pack
 from tabmend.llm.quality import quality_scores
 from tabmend.llm.toxicity import decided, toxicity_scores
@@ -33,6 +34,10 @@ def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op7_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(read(spark, sf_dir, "documents"), remainder("doc_id", 5) == 1)
+
+
 def encoder(path: str | None = None):
     """A maker of encoders by the vocabulary file at `path`, which by default the executor's own public_tokenizers names."""
 
@@ -52,6 +57,7 @@ QUERIES = {
     "op1_toxicity_fm": op1_toxicity_fm,
     "op5_quality_nbsvm": op5_quality_nbsvm,
     "op6_minhash_neardup": op6_minhash_neardup,
+    "op7_backoff_lm": op7_backoff_lm,
     "op9_cutting_stock_packing": op9_cutting_stock_packing,
 }
 
