@@ -12,6 +12,7 @@ from tabmend.llm.neardup import near_duplicates
 from tabmend.llm.ngram_lm import lm_scores
 from tabmend.llm.packing import byte_pair_encoder, pack
 from tabmend.llm.quality import quality_scores
+from tabmend.llm.shards import shard_by_sampled_splitters
 from tabmend.llm.toxicity import decided, toxicity_scores
 
 
@@ -26,6 +27,12 @@ def op1_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, toxicity_scores, 0.3)
 
 
+def op2_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shard_by_sampled_splitters(read(spark, sf_dir, "documents").select("doc_id", "text"), 40)
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return out.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
+
+
 def op5_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, quality_scores, 0.7)
 
@@ -55,6 +62,7 @@ def op9_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity_fm": op1_toxicity_fm,
+    "op2_sampled_splitters": op2_sampled_splitters,
     "op5_quality_nbsvm": op5_quality_nbsvm,
     "op6_minhash_neardup": op6_minhash_neardup,
     "op7_backoff_lm": op7_backoff_lm,
