@@ -8,6 +8,7 @@ from tabmend.llm.common import read
 from pyspark.sql import functions as F
 
 from tabmend.llm.labelled import remainder
+from tabmend.llm import licences
 from tabmend.llm.neardup import near_duplicates
 from tabmend.llm.ngram_lm import lm_scores
 from tabmend.llm.packing import byte_pair_encoder, pack
@@ -60,6 +61,10 @@ def op9_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), encoder())
 
 
+def op10_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_matches(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity_fm": op1_toxicity_fm,
     "op2_sampled_splitters": op2_sampled_splitters,
@@ -67,10 +72,12 @@ QUERIES = {
     "op6_minhash_neardup": op6_minhash_neardup,
     "op7_backoff_lm": op7_backoff_lm,
     "op9_cutting_stock_packing": op9_cutting_stock_packing,
+    "op10_licence_sentences": op10_licence_sentences,
 }
 
 #: DuckDB SQL for the queries that it can express.
 ORACLES: dict[str, str] = {
+    "op10_licence_sentences": licences.oracle(),
     "op6_minhash_neardup": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
