@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tabmend.llm.common import read
 from pyspark.sql import functions as F
 
+from tabmend.llm.decontam import contaminated
 from tabmend.llm.labelled import remainder
 from tabmend.llm import licences
 from tabmend.llm.neardup import near_duplicates
@@ -34,6 +35,10 @@ def op2_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
 
 
+def op4_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op5_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, quality_scores, 0.7)
 
@@ -68,6 +73,7 @@ def op10_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity_fm": op1_toxicity_fm,
     "op2_sampled_splitters": op2_sampled_splitters,
+    "op4_simhash_decontamination": op4_simhash_decontamination,
     "op5_quality_nbsvm": op5_quality_nbsvm,
     "op6_minhash_neardup": op6_minhash_neardup,
     "op7_backoff_lm": op7_backoff_lm,
