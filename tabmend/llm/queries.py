@@ -12,6 +12,7 @@ from tabmend.llm.labelled import remainder
 from tabmend.llm import licences
 from tabmend.llm.neardup import near_duplicates
 from tabmend.llm.ngram_lm import lm_scores
+from tabmend.llm.omh import order_minhash
 from tabmend.llm.packing import byte_pair_encoder, pack
 from tabmend.llm.quality import quality_scores
 from tabmend.llm.shards import shard_by_sampled_splitters
@@ -51,6 +52,10 @@ def op7_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(read(spark, sf_dir, "documents"), remainder("doc_id", 5) == 1)
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash(read(spark, sf_dir, "documents"))
+
+
 def encoder(path: str | None = None):
     """A maker of encoders by the vocabulary file at `path`, which by default the executor's own public_tokenizers names."""
 
@@ -77,6 +82,7 @@ QUERIES = {
     "op5_quality_nbsvm": op5_quality_nbsvm,
     "op6_minhash_neardup": op6_minhash_neardup,
     "op7_backoff_lm": op7_backoff_lm,
+    "op8_order_minhash": op8_order_minhash,
     "op9_cutting_stock_packing": op9_cutting_stock_packing,
     "op10_licence_sentences": op10_licence_sentences,
 }
