@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabmend.llm.decontam import contaminated
 from tabmend.llm.labelled import remainder
 from tabmend.llm import licences
+from tabmend.llm.langid import languages
 from tabmend.llm.neardup import near_duplicates
 from tabmend.llm.ngram_lm import lm_scores
 from tabmend.llm.omh import order_minhash
@@ -36,6 +37,10 @@ def op2_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
 
 
+def op3_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents"))
+
+
 def op4_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_hash")
 
@@ -78,6 +83,7 @@ def op10_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity_fm": op1_toxicity_fm,
     "op2_sampled_splitters": op2_sampled_splitters,
+    "op3_language_evidence": op3_language_evidence,
     "op4_simhash_decontamination": op4_simhash_decontamination,
     "op5_quality_nbsvm": op5_quality_nbsvm,
     "op6_minhash_neardup": op6_minhash_neardup,
