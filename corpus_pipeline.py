@@ -1,21 +1,69 @@
-"""Documents in, packed training sequences out: STAGES run in order, each on all rows that the one before kept."""
+"""Documents in, packed training sequences out.
+
+STAGES run in order, each on all rows that the one before kept, and each decision
+takes effect: toxic documents go, bad ones go, one document of each group of near
+duplicates stays, documents that hold a benchmark passage go, the rest is packed.
+The classifiers learn from the labelled rows of `labels` among the documents that
+reach their stage. Every stage but the last returns the columns of documents.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabmend.llm.common import materialize, read
+from tabmend.llm.decontam import decontaminated
 from tabmend.llm.neardup import near_duplicates
+from tabmend.llm.packing import pack
+from tabmend.llm.quality import quality_scores
+from tabmend.llm.queries import encoder
+from tabmend.llm.toxicity import toxicity_scores
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Probabilities at which a document counts as toxic, and as good.
+TOXIC, GOOD = 0.3, 0.5
 
 
-def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scored = toxicity_scores(docs, docs, read(spark, sf_dir, "labels"), out="_score")
+    return scored.filter(F.col("_score") < TOXIC).drop("_score")
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scored = quality_scores(docs, docs, read(spark, sf_dir, "labels"), out="_score")
+    return scored.filter(F.col("_score") >= GOOD).drop("_score")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component, that of the least id; of rows equal in id and text, one."""
+    found = near_duplicates(docs).filter("kept")
+    first = F.row_number().over(Window.partitionBy("group").orderBy("doc_id", "text_hash"))
+    alone = found.filter("group is null").select("doc_id", "text_hash")
+    stays = found.filter("group is not null").withColumn("_n", first).filter("_n = 1").select("doc_id", "text_hash").unionByName(alone)
+    stays = stays.distinct().select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    own = docs.withColumn("_text", F.xxhash64("text")).join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left_semi")
+    again = F.row_number().over(Window.partitionBy("doc_id", "_text").orderBy("text"))
+    return own.withColumn("_n", again).filter("_n = 1").drop("_n", "_text")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, encoder())
+
 
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality", keep_good),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("packing", pack_sequences),
+]
 
-STAGES = [("near_duplicates", deduplicate)]
+#: The classifiers, MinHash and packing are beyond SQL; tests compare with plain Python.
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

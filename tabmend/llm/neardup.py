@@ -7,8 +7,9 @@ densification does. ROWS bins make a band, and nodes that agree on a band share
 a bucket. A bucket compares its members with one centre, so it holds as many
 candidate edges as members. Where members of a bucket that were not yet compared
 still lie in different components, further centres, those with most links first,
-are compared in rounds of growing number until nothing is left open. Each
-candidate is confirmed on the full shingle sets.
+are compared in rounds of growing number until nothing is left open. Shingles that
+only one open node holds bound its similarity to all others from above, which
+spares pairs that can't be links. Each candidate is confirmed on the full sets.
 
 Results in odd cases: a null or blank text has no shingles and no links; rows
 with the same words form one group whatever their white space; a null id takes
@@ -33,6 +34,8 @@ BINS = 1 << BIN_BITS
 CENTRES = 16
 #: Bits of the filter that spares nodes outside every bucket from having their sets moved.
 FILTER_BITS = 1 << 25
+#: Shingles that a task counts before it passes them on.
+HELD = 1_000_000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -100,11 +103,12 @@ def _signatures(k: int):
                 yield pa.record_batch(
                     [
                         batch.column("id").slice(first, stop - first),
+                        batch.column("text_hash").slice(first, stop - first),
                         pa.array(nodes, pa.binary()),
                         pa.array(counts, pa.int64()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel())),
                     ],
-                    ["id", "node", "n_shingles", "bands"],
+                    ["id", "text_hash", "node", "n_shingles", "bands"],
                 )
 
     return run
@@ -135,6 +139,28 @@ def _node_sets(k: int, wanted):
     return run
 
 
+def _local_counts(batches):
+    """(shingle, times, one node that holds it), summed over pieces of a task's sets."""
+    held, owners, size = [], [], 0
+
+    def flush():
+        owner = np.repeat(np.arange(len(owners)), [len(x) for x in held])
+        h, first, n = np.unique(np.concatenate(held), return_index=True, return_counts=True)
+        nodes = pa.array(owners, pa.binary()).take(pa.array(owner[first]))
+        return pa.record_batch([pa.array(h.view(np.int64)), pa.array(n, pa.int64()), nodes], ["h", "c", "node"])
+
+    for batch in batches:
+        for node, x in zip(batch.column("node").to_pylist(), batch.column("shingles"), strict=True):
+            held.append(np.frombuffer(x.as_buffer(), np.uint64))
+            owners.append(node)
+            size += len(held[-1])
+            if size > HELD:
+                yield flush()
+                held, owners, size = [], [], 0
+    if held:
+        yield flush()
+
+
 def _confirm(percent: int):
     def run(batches):
         last, left = None, None
@@ -188,12 +214,16 @@ def _near_size(percent: int, x: str, y: str):
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, k: int = 5) -> DataFrame:
-    """One row per row of df: id, n_shingles, component_id, kept. percent: the least similarity of a link."""
+    """One row per row of df: id, n_shingles, component_id, kept, text_hash, group. percent: the least similarity of a link.
+
+    text_hash is the text's xxhash64; group is equal for the rows of a component, null for those without words.
+    """
     spark = df.sparkSession
     small_batches(spark)
     id_type = df.schema[id_col].dataType
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    shape = T.StructType().add("id", id_type).add("node", "binary").add("n_shingles", "long").add("bands", T.ArrayType(T.LongType()))
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    shape = T.StructType().add("id", id_type).add("text_hash", "long").add("node", "binary").add("n_shingles", "long").add("bands", T.ArrayType(T.LongType()))
     signed = materialize(rows.mapInArrow(_signatures(k), shape))
     nodes = signed.filter("node is not null").groupBy("node").agg(F.min("n_shingles").alias("n"), F.min("bands").alias("bands"))
     member = nodes.select("node", "n", F.explode("bands").alias("key"))
@@ -217,33 +247,45 @@ def _links(spark, rows: DataFrame, buckets: DataFrame, percent: int, k: int) ->
     stars = buckets.filter("node <> centre").filter(_near_size(percent, "n", "centre_n")).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     links = materialize(confirmed(stars, sets, percent))
     open_rows = buckets.filter("node <> centre").select("key", "node", "n")
-    centres = CENTRES
+    bounded, centres = False, CENTRES
     while True:
         roots = materialize(components(links))
         degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
-        state = open_rows.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-        torn = state.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-        state = materialize(state.join(torn, "key").join(degree, "node", "left").withColumn("links", F.coalesce("count", F.lit(0))).drop("count"))
+        state = open_rows.drop("root", "links").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        state = _torn(state.join(degree, "node", "left").withColumn("links", F.coalesce("count", F.lit(0))).drop("count"))
+        if not bounded:
+            own = sets.join(state.select("node").distinct(), "node", "left_semi").mapInArrow(_local_counts, "h long, c long, node binary")
+            own = own.groupBy("h").agg(F.sum("c").alias("c"), F.min("node").alias("node")).filter("c = 1").groupBy("node").agg(F.count("*").alias("own"))
+            state = state.join(own, "node", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+            state, bounded = _torn(state.filter(F.col("common") * 100 >= F.col("n") * percent)), True
         if state.isEmpty():
             return links
         rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("links"), "node"))
         ranked = state.withColumn("rank", rank)
-        chosen = ranked.filter(F.col("rank") <= centres).select("key", F.col("node").alias("a"), F.col("n").alias("an"), F.col("root").alias("ar"), F.col("rank").alias("at"))
-        more = ranked.join(chosen, "key").filter("ar <> root and rank > at").filter(_near_size(percent, "n", "an"))
-        more = more.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        chosen = ranked.filter(F.col("rank") <= centres).select("key", *(F.col(c).alias(f"c_{c}") for c in ("node", "n", "root", "rank", "common")))
+        most = F.least("common", "c_common")
+        could = (F.col("c_root") != F.col("root")) & (F.col("rank") > F.col("c_rank")) & (most * 100 >= (F.col("n") + F.col("c_n") - most) * percent)
+        more = ranked.join(chosen, "key").filter(could)
+        more = more.select(F.least("c_node", "node").alias("a"), F.greatest("c_node", "node").alias("b")).distinct()
         links = materialize(links.unionByName(confirmed(more, sets, percent)))
-        open_rows = materialize(ranked.filter(F.col("rank") > centres).select("key", "node", "n"))
+        open_rows = materialize(ranked.filter(F.col("rank") > centres).select("key", "node", "n", "common"))
         centres *= 4
 
 
+def _torn(state: DataFrame) -> DataFrame:
+    """The rows of buckets whose rows lie in more than one component."""
+    torn = state.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    return materialize(state.join(torn, "key"))
+
+
 def _labelled(signed: DataFrame, roots: DataFrame | None, id_col: str) -> DataFrame:
     own = signed.filter("node is not null").groupBy("node").agg(F.min("id").alias("least"))
     if roots is None:
-        label = own.select("node", F.col("least").alias("component"))
+        label = own.select("node", F.col("node").alias("root"), F.col("least").alias("component"))
     else:
         placed = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         least = placed.groupBy("root").agg(F.min("least").alias("component"))
-        label = placed.join(least, "root").select("node", "component")
-    out = signed.select("id", "node", "n_shingles").join(label, "node", "left")
+        label = placed.join(least, "root").select("node", "root", "component")
+    out = signed.select("id", "node", "n_shingles", "text_hash").join(label, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "text_hash", F.col("root").alias("group"))
