@@ -36,6 +36,12 @@ def by_part_size(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.limit(BROADCAST_PARTS + 1).count() <= BROADCAST_PARTS else table
 
 
+def rank_of(carrier: DataFrame, pos) -> int:
+    """How many rows stand at or before a place, which may be a struct."""
+    at = F.struct(*(F.lit(v).alias(k) for k, v in pos.asDict().items())) if hasattr(pos, "asDict") else F.lit(pos)
+    return carrier.filter(F.col("pos") <= at).count()
+
+
 def from_rows(df: DataFrame, order: list[str]) -> DataFrame:
     """Any DataFrame as a carrier, ordered by columns: range-partitioned and sorted within partitions."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tabmend.config import RUNAWAY_FACTOR, RUNAWAY_FIELDS, WARNINGS_SHOWN
 from tabmend.functions.charset import unmojibake
+from tabmend.operators.carrier import rank_of
 from tabmend.options import ConversionError, Options
 
 
@@ -57,7 +58,7 @@ def check_width(carrier: DataFrame, width: int) -> None:
     """Fail at the first row of another width."""
     first = carrier.filter(F.size("cells") != width).select("pos", F.size("cells").alias("n")).orderBy("pos").first()
     if first is not None:
-        row = carrier.filter(F.col("pos") <= first["pos"]).count()
+        row = rank_of(carrier, first["pos"])
         raise ConversionError(f"row {row}: got {first['n']} fields, expected {width}")
 
 

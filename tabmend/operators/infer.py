@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabmend.config import INFER_ROWS, MISMATCH_COLUMNS_SHOWN
 from tabmend.functions.typed import INT, FLOAT, BOOL, PRIORITY, TEXT, coerce, fits, misfit
+from tabmend.operators.carrier import rank_of
 from tabmend.options import ConversionError
 
 
@@ -78,5 +79,5 @@ def require_fit(carrier: DataFrame, names: list[str], kinds: list[str]) -> None:
         return
     first = carrier.select("pos", F.coalesce(*tests).alias("column")).filter("column is not null").orderBy("pos").first()
     if first is not None:
-        row = carrier.filter(F.col("pos") <= first["pos"]).count()
+        row = rank_of(carrier, first["pos"])
         raise ConversionError(f"row {row}: column {names[first['column']]!r} is not {kinds[first['column']]}")
