@@ -27,6 +27,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabmend.llm.common import materialize
+
 SHINGLE, THRESHOLD = 5, 0.8
 #: A window at the threshold is about 13 bits from its item, with a deviation of 3.
 BITS, BLOCKS, RADIUS = 64, 8, 23
@@ -38,12 +40,10 @@ def words(text: Column) -> Column:
     return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
 
 
-def shingles(tokens: Column, k: int) -> Column:
-    """Structs (h, w) of the k-word shingles of an array of words, in order."""
-    at = F.sequence(F.lit(1), F.greatest(F.size(tokens) - k + 1, F.lit(1)))
-    made = F.transform(at, lambda i: F.array_join(F.slice(tokens, i, k), " "))
-    made = F.transform(made, lambda s: F.struct(F.xxhash64(s).alias("h"), (F.length(s) - (k - 1)).cast("double").alias("w")))
-    return F.when(F.size(tokens) >= k, made).otherwise(F.array().cast("array<struct<h:bigint,w:double>>"))
+def shingles(tokens: Column, k: Column) -> Column:
+    """Structs (h, w) of the k-word shingles of an array of at least k words, in order."""
+    made = F.transform(F.sequence(F.lit(1), F.size(tokens) - k + 1), lambda i: F.array_join(F.slice(tokens, i, k), " "))
+    return F.transform(made, lambda s: F.struct(F.xxhash64(s).alias("h"), (F.length(s) - (k - 1)).cast("double").alias("w")))
 
 
 def simhash(sh: Column) -> Column:
@@ -70,14 +70,13 @@ def items_of(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
     items = benchmark.select(F.col(item_id).alias("item"), words(F.col(text).cast("string")).alias("ws")).filter(F.size("ws") > 0)
     items = items.groupBy("ws").agg(F.collect_set("item").alias("items"), F.max(F.col("item").isNull()).alias("null_item"))
     items = items.withColumns({"n_words": F.size("ws"), "k": F.least(F.size("ws"), F.lit(SHINGLE)), "key": F.xxhash64("ws")})
-    whole = F.transform(F.array(F.array_join("ws", " ")), lambda s: F.struct(F.xxhash64(s).alias("h"), (F.length(s) - (F.col("n_words") - 1)).cast("double").alias("w")))
-    items = items.withColumn("sh", F.when(F.col("n_words") >= SHINGLE, shingles(F.col("ws"), SHINGLE)).otherwise(whole))
+    items = items.withColumn("sh", shingles(F.col("ws"), F.col("k")))
     return items.withColumn("fp", simhash(F.col("sh"))).drop("ws")
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, text hash, item, start, n_words, distance, similarity): the best window of each document for each item that it holds."""
-    items = items_of(benchmark, item_id, item_text)
+    items = materialize(items_of(benchmark, item_id, item_text))
     posting = items.select("key", "n_words", "k", F.posexplode("sh").alias("q", "s")).select("key", "n_words", "k", "q", F.col("s.h").alias("h"))
     sizes = [r["k"] for r in items.select("k").distinct().collect()]  # at most SHINGLE values
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
@@ -116,14 +115,14 @@ def _windows(rows: DataFrame, posting: DataFrame, k: int, small: bool) -> DataFr
 
 def _verified(found: DataFrame, items: DataFrame, threshold: float, id_col: str) -> DataFrame:
     tokens = words(F.col("text"))
+    # few bytes but much work: dealt out by number, which Spark doesn't undo
+    found = found.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     at = found.select("id", F.xxhash64("text").alias("text_hash"), tokens.alias("ws"), "n_words", "k", F.explode("ss").alias("s"))
     window = F.slice("ws", F.greatest(F.col("s"), F.lit(0)) + 1, F.col("n_words") + F.least(F.col("s"), F.lit(0)))
     at = at.select("id", "text_hash", "n_words", "s", "k", window.alias("win")).filter("size(win) >= k")
-    sh = F.when(F.col("k") == SHINGLE, shingles(F.col("win"), SHINGLE))
-    for k in range(1, SHINGLE):
-        sh = sh.when(F.col("k") == k, shingles(F.col("win"), k))
-    at = at.select("id", "text_hash", "n_words", "s", sh.alias("sh"))
+    at = at.select("id", "text_hash", "n_words", "s", shingles(F.col("win"), F.col("k")).alias("sh"))
     at = at.select("id", "text_hash", "n_words", "s", "sh", simhash(F.col("sh")).alias("fp"))
+    at = materialize(at)  # else the optimizer moves the joins' conditions below, and fingerprints are computed for each bit anew
     blocks = F.sequence(F.lit(0), F.lit(BLOCKS - 1))
     probes = at.withColumn("b", F.explode(blocks)).withColumn("v", _block(F.col("fp"), F.col("b")))
     masks = F.array(*(F.lit(m) for m in near_masks(BITS // BLOCKS, RADIUS // BLOCKS)))
@@ -131,9 +130,9 @@ def _verified(found: DataFrame, items: DataFrame, threshold: float, id_col: str)
     index = index.withColumn("v", _block(F.col("item_fp"), F.col("b"))).withColumn("m", F.explode(masks)).withColumn("v", F.col("v").bitwiseXOR(F.col("m"))).drop("m")
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     met = probes.join(index, ["n_words", "b", "v"]).withColumn("distance", distance).filter(F.col("distance") <= RADIUS)
-    # of the blocks in which a pair meets, the first one keeps it
-    first = F.coalesce(*(F.when(F.bit_count(_block(F.col("fp"), F.lit(j)).bitwiseXOR(_block(F.col("item_fp"), F.lit(j)))) <= RADIUS // BLOCKS, F.lit(j)) for j in range(BLOCKS)))
-    met = met.filter(F.col("b") == first).join(items.select("key", F.col("sh").alias("item_sh"), "items", "null_item"), "key")
+    # a pair may meet in several blocks
+    met = met.select("id", "text_hash", "n_words", "s", "sh", "key", "distance").distinct()
+    met = met.join(items.select("key", F.col("sh").alias("item_sh"), "items", "null_item"), "key")
     hashes = F.transform("sh", lambda x: x["h"])
     item_set = F.array_distinct("item_sh")
     total = F.aggregate(item_set, F.lit(0.0), lambda acc, x: acc + x["w"])
