@@ -13,6 +13,8 @@ from tabmend.options import ConversionError, Options
 
 #: Codecs, their default levels and allowed levels; codecs without levels ignore one.
 CODECS = {"zstd": (3, range(1, 23)), "gzip": (6, range(0, 10)), "brotli": (5, range(0, 12)), "snappy": None, "lz4": None, "none": None}
+#: The JVM's names of gzip levels 0 to 9.
+_GZIP_LEVELS = ["NO_COMPRESSION", "BEST_SPEED", "TWO", "THREE", "FOUR", "DEFAULT_COMPRESSION", "SIX", "SEVEN", "EIGHT", "BEST_COMPRESSION"]
 _SPARK_CODECS = {"zstd": "zstd", "gzip": "gzip", "snappy": "snappy", "lz4": "lz4_raw", "none": "none"}
 
 
@@ -43,8 +45,10 @@ def write_parquet(df: DataFrame, path: str, options: Options) -> None:
         return
     writer = (df.coalesce(1) if options.single_file else df).write.mode("overwrite").option("compression", _SPARK_CODECS[codec])
     writer = writer.option("parquet.block.row.count.limit", options.row_group)
-    if level is not None:
-        writer = writer.option({"zstd": "parquet.compression.codec.zstd.level", "gzip": "zlib.compress.level"}[codec], level)
+    if codec == "zstd":
+        writer = writer.option("parquet.compression.codec.zstd.level", level)
+    elif codec == "gzip":
+        writer = writer.option("zlib.compress.level", _GZIP_LEVELS[level])
     _placed(writer.parquet, path, options.single_file)
 
 
