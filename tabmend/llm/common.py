@@ -46,7 +46,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # snappy's buffers lie outside the heap until a collection frees them
     return spark.read.schema(df.schema).parquet(path)
 
 
