@@ -69,7 +69,8 @@ RULES = [
 ]
 #: Of several rules that begin alike only the longest that matches counts.
 SHADOWED = {"BSD-2-Clause": "BSD-3-Clause"}
-TRIGGERS = ["licen", "permission", "warrant", "redistribution", "cc0"]
+#: Parts of words of which every known sentence holds one.
+TRIGGERS = ["licen", "permission", "warrant", "redistribution", "released", "distributed"]
 
 
 def normalised(text: str) -> str:
