@@ -31,7 +31,7 @@ def parse_float(cell: Column) -> Column:
     size = F.abs(value)
     fits = (F.length(significant) <= _MOST_DIGITS) & ((significant == "") | (size >= _LEAST_NORMAL)) & (size < float("inf"))
     whole = cell.rlike(r"\A-?[0-9]+\z")
-    exact = F.abs(cell.try_cast("bigint")) <= _EXACT_INT
+    exact = cell.try_cast("bigint").between(-_EXACT_INT, _EXACT_INT)
     return F.when(cell.rlike(_FLOAT) & F.when(whole, exact & (cell != "-0")).otherwise(fits), value)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COUNTERS = {"n_quote": "quotes", "n_fallback": "fallback", "n_trail": "trailing", "n_join": "joined", "n_realign": "realigned", "n_bad": "malformed", "n_moji": "unmojibaked"}
@@ -27,8 +27,15 @@ class Metrics:
         return 2 if self.problems else 0
 
 
-def measured(guarded: DataFrame) -> Metrics:
-    """Counters of a guarded carrier; dropped rows count as malformed, not as rows."""
+def counters(guarded: DataFrame) -> list[Column]:
+    """Aggregates of a guarded carrier; dropped rows count as malformed, not as rows."""
     there = [c for c in COUNTERS if c in guarded.columns]
-    row = guarded.agg(F.count_if(~F.col("dropped")).alias("rows"), *(F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0)).alias(c) for c in there)).first()
-    return Metrics(row["rows"], {COUNTERS[c]: row[c] for c in there})
+    return [F.count_if(~F.col("dropped")).alias("rows"), *(F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0)).alias(c) for c in there)]
+
+
+def of_counters(found: dict) -> Metrics:
+    return Metrics(found["rows"], {COUNTERS[c]: n for c, n in found.items() if c in COUNTERS})
+
+
+def measured(guarded: DataFrame) -> Metrics:
+    return of_counters(guarded.agg(*counters(guarded)).first().asDict())

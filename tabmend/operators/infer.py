@@ -13,25 +13,29 @@ from tabmend.operators.carrier import rank_of
 from tabmend.options import ConversionError
 
 
+def _each(df: DataFrame, cells: list[Column]) -> DataFrame:
+    """(i, c): every cell with its column's number, so that plans don't grow with the width."""
+    return df.select(F.posexplode(F.array(*(F.coalesce(c, F.lit("")) for c in cells))).alias("i", "c"))
+
+
 def infer_types(df: DataFrame, cells: list[Column]) -> list[str]:
     """The first type of PRIORITY that every non-empty cell of a column fits; text where there is none.
 
     One aggregation over the whole of df, with partial aggregates; a sample is the caller's choice.
     """
-    wanted = []
-    for i, cell in enumerate(cells):
-        wanted.append(F.max(F.coalesce(cell, F.lit("")) != "").alias(f"any_{i}"))
-        wanted += [F.min(fits(cell, kind)).alias(f"{kind}_{i}") for kind in PRIORITY]
-    if not wanted:
-        return []
-    row = df.agg(*wanted).first()
-    return [next((k for k in PRIORITY if row[f"any_{i}"] and row[f"{k}_{i}"]), TEXT) for i in range(len(cells))]
+    return _inferred(_each(df, cells), len(cells)) if cells else []
+
+
+def _inferred(each: DataFrame, width: int) -> list[str]:
+    tests = [F.min(fits(F.col("c"), kind)).alias(kind) for kind in PRIORITY]
+    rows = {r["i"]: r for r in each.filter("c <> ''").groupBy("i").agg(*tests).collect()}  # a row for each column
+    return [next((k for k in PRIORITY if i in rows and rows[i][k]), TEXT) for i in range(width)]
 
 
 def infer_carrier_types(carrier: DataFrame, width: int, rows: int = INFER_ROWS) -> list[str]:
     """Types of a carrier's columns from its first rows."""
     sample = carrier.orderBy("pos").limit(rows)
-    return infer_types(sample, [F.get("cells", F.lit(i)) for i in range(width)])
+    return _inferred(sample.select(F.posexplode(F.slice("cells", 1, width)).alias("i", "c")), width) if width else []
 
 
 def describe_types(kinds: list[str]) -> str:
@@ -46,8 +50,12 @@ def mismatch_counts(df: DataFrame, cells: list[Column], kinds: list[str]) -> lis
     """Misfits of each column, in one aggregation."""
     if not cells:
         return []
-    row = df.agg(*(F.coalesce(F.sum(misfit(c, k).cast("long")), F.lit(0)).alias(f"m{i}") for i, (c, k) in enumerate(zip(cells, kinds, strict=True)))).first()
-    return list(row)
+    each = _each(df, cells)
+    bad = F.lit(False)
+    for kind in set(kinds) - {TEXT}:
+        bad = F.when(F.col("i").isin([i for i, k in enumerate(kinds) if k == kind]), misfit(F.col("c"), kind)).otherwise(bad)
+    found = {r["i"]: r["n"] for r in each.filter(bad).groupBy("i").agg(F.count("*").alias("n")).collect()}
+    return [found.get(i, 0) for i in range(len(cells))]
 
 
 @dataclass

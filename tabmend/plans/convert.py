@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tabmend.config import PREVIEW_ROWS
 from tabmend.functions.typed import TEXT
-from tabmend.metrics import Metrics, measured
+from tabmend.metrics import Metrics, counters, measured, of_counters
 from tabmend.operators.guard import guard, kept, warnings
 from tabmend.operators.infer import MismatchReport, infer_carrier_types, mismatch_counts, require_fit, typed_columns
 from tabmend.operators.names import output_names
@@ -82,12 +82,39 @@ class Conversion:
     def preview(self) -> DataFrame:
         return self.carrier.orderBy("pos").limit(PREVIEW_ROWS).select(*(F.left(c, F.lit(32)).alias(n) for c, n in zip(self.cells(), self.names, strict=True)))
 
+    def observed(self) -> tuple[DataFrame, Watch]:
+        """The frame, and what the pass that writes it has counted, so that no second pass is needed."""
+        kinds = self.kinds or [TEXT] * len(self.names)
+        rows, values, digest = Observation(), Observation(), Observation()
+        carrier = kept(self.guarded.observe(rows, *counters(self.guarded)))
+        raw = carrier.select(F.col("cells").alias("_cells"), *typed_columns(self.cells(), self.names, kinds))
+        lost = [F.coalesce(F.count_if((F.get("_cells", F.lit(i)) != "") & F.col(f"`{n}`").isNull()), F.lit(0)).alias(f"m{i}") for i, (n, k) in enumerate(zip(self.names, kinds, strict=True)) if k != TEXT]
+        frame = raw.observe(values, F.count("*").alias("n"), *lost).drop("_cells")
+        return frame.observe(digest, *file_sinks.digest(frame)), Watch(self, kinds, rows, values, digest)
+
+    def metrics(self) -> Metrics:
+        return measured(self.guarded)
+
     def mismatches(self) -> MismatchReport:
         counts = mismatch_counts(self.carrier, self.cells(), self.kinds) if self.kinds else []
         return MismatchReport(self.names if self.kinds else [], self.kinds, counts)
 
-    def metrics(self) -> Metrics:
-        return measured(self.guarded)
+
+@dataclass
+class Watch:
+    """Counters of a pass that has run."""
+
+    made: Conversion
+    kinds: list[str]
+    rows: Observation
+    values: Observation
+    digest: Observation
+
+    def outcome(self) -> tuple[Metrics, MismatchReport]:
+        metrics, lost = of_counters(self.rows.get), self.values.get
+        report = MismatchReport(self.made.names, self.kinds, [lost.get(f"m{i}", 0) for i in range(len(self.kinds))])
+        metrics.mismatches = report.total
+        return metrics, report
 
 
 def prepare(spark: SparkSession, path: str, name: str, options: Options, fold_names: bool = False) -> Conversion:
@@ -132,13 +159,15 @@ def convert(spark: SparkSession, source: str, target_path: str, source_kind: str
         made.infer()
         if options.strict:
             require_fit(made.carrier, made.names, made.kinds)
-    if target == "csv":
-        file_sinks.write_csv(made.frame(), path, options)
-    elif target == "parquet":
-        file_sinks.write_parquet(made.frame(), path, options)
-        file_sinks.verify(spark, made.frame(), path, options.codec)
-    else:
+    if target == "sqlite":
         write_sqlite(made.carrier, path, made.table, made.names, made.kinds or None, options.drop_table, options.row_group)
-    report, metrics = made.mismatches(), made.metrics()
-    metrics.mismatches = report.total
-    return Outcome(path, metrics, [*warnings(made.guarded, len(made.names)), *report.warnings()])
+        report, metrics = made.mismatches(), made.metrics()
+        metrics.mismatches = report.total
+    else:
+        frame, watch = made.observed()
+        (file_sinks.write_csv if target == "csv" else file_sinks.write_parquet)(frame, path, options)
+        metrics, report = watch.outcome()
+        if target == "parquet":
+            file_sinks.verify(spark, watch.digest.get, path, options.codec)
+    bad = warnings(made.guarded, len(made.names)) if metrics.counts.get("malformed") else []
+    return Outcome(path, metrics, [*bad, *report.warnings()])

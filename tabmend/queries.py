@@ -101,8 +101,8 @@ def dirty_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "lineitem")
     lines = text_lines(df.withColumn("k", F.col("l_orderkey") * 16 + F.col("l_linenumber")), "k", [F.col(c) for c in LINE_COLUMNS], LINE_COLUMNS)
     key = F.floor(F.col("at") / 16)
-    body = F.when(F.col("at") < 0, F.col("value")).when(key % 7 == 0, F.concat("value", F.lit('"'))).when(key % 11 == 0, F.concat("value", F.lit(","))).otherwise(F.col("value"))
-    return lines.withColumn("value", body)
+    spare = F.when(F.col("at") < 0, "").when(key % 7 == 0, '"').when(key % 11 == 0, ",").otherwise("")
+    return lines.withColumn("value", F.concat("value", spare))
 
 
 def cleaned_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:

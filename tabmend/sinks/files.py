@@ -6,7 +6,7 @@ import shutil
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabmend.options import ConversionError, Options
@@ -146,21 +146,21 @@ def recode_exact(spark: SparkSession, source: str, target: str, options: Options
     return n
 
 
-def verify(spark: SparkSession, df: DataFrame, path: str, codec: str = "zstd") -> int:
-    """Read an output back: its rows must be as many as df's and sum to the same hash; for brotli, which Spark can't read here, as many."""
-    if codec == "brotli":
-        import pyarrow.parquet as pq
+def digest(df: DataFrame) -> list[Column]:
+    """Aggregates that tell tables of other rows apart: their number and the sum of their hashes."""
+    cells = [F.to_json(f"`{c}`") if k.startswith(("map", "struct", "array")) else F.col(f"`{c}`") for c, k in df.dtypes]
+    return [F.count("*").alias("rows"), F.coalesce(F.sum(F.xxhash64(*cells).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("hashes")]
 
-        wanted, found = (df.count(),), (sum(pq.read_metadata(p).num_rows for p in Path(path).glob("*.parquet")),)
-        if wanted != found:
-            raise ConversionError(f"the output has {found[0]} of {wanted[0]} rows")
-        return found[0]
 
-    def digest(x: DataFrame) -> tuple:
-        cells = [F.to_json(c) if k.startswith(("map", "struct", "array")) else F.col(f"`{c}`") for c, k in x.dtypes]
-        return tuple(x.agg(F.count("*"), F.sum(F.xxhash64(*cells).cast("decimal(38,0)"))).first())
+def verify(spark: SparkSession, wanted: dict, path: str, codec: str = "zstd") -> int:
+    """Read an output back and compare its digest; for brotli, which Spark can't read here, the number of rows."""
+    if codec == "brotli":
+        import pyarrow.parquet as pq
 
-    wanted, found = digest(df), digest(spark.read.parquet(path))
-    if wanted != found:
-        raise ConversionError(f"the output has {found[0]} rows that differ from the {wanted[0]} rows given")
-    return found[0]
+        found = {"rows": sum(pq.read_metadata(p).num_rows for p in Path(path).glob("*.parquet"))}
+    else:
+        df = spark.read.parquet(path)
+        found = df.agg(*digest(df)).first().asDict()
+    if any(found[k] != wanted[k] for k in found):
+        raise ConversionError(f"the output has {found['rows']} rows that differ from the {wanted['rows']} rows given")
+    return found["rows"]

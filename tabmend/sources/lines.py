@@ -152,13 +152,19 @@ def assemble(lines: DataFrame, delimiter: str) -> DataFrame:
 
     The parts' entry states follow from one small row for each part.
     """
+
+    @F.arrow_udf("boolean")
+    def opens(texts: pa.Array) -> pa.Array:
+        return pa.array([ends_open(t, delimiter, False) for t in texts.to_pylist()], pa.bool_())
+
+    # where no line opens a quote that it leaves open, no record spans lines; only lines with quotes go to Python
+    if lines.filter(F.contains("value", F.lit('"'))).filter(opens("value")).isEmpty():
+        return lines
     schema = T.StructType(list(lines.schema.fields))
     for entry in "01":
         schema = schema.add(f"in{entry}", "boolean").add(f"out{entry}", "boolean").add(f"rec{entry}", "long")
     stepped = lines.mapInArrow(_transitions(delimiter), schema)
-    parts = stepped.groupBy("part").agg(F.max_by(F.struct("out0", "out1", "rec0", "rec1"), "pos").alias("e"), F.max("out0").alias("opens")).orderBy("part").collect()
-    if not any(r["opens"] for r in parts):
-        return lines
+    parts = stepped.groupBy("part").agg(F.max_by(F.struct("out0", "out1", "rec0", "rec1"), "pos").alias("e")).orderBy("part").collect()
     state, records, table = False, 0, []
     for r in parts:
         table.append((r["part"], state, records))
@@ -241,7 +247,8 @@ def records(lines: DataFrame, options: Options) -> DataFrame:
     rows = lines.withColumn("_tok", tokenize(F.when(special, value)))
     rows = rows.withColumn("_all", F.when(special, F.col("_tok")).otherwise(plain))
     counters = [c for c in lines.columns if c.startswith("n_")]
-    out = rows.select("part", "pos", *counters, F.posexplode("_all").alias("_sub", "cells"))
+    # the outer form, since the plain one infers a condition on the whole decoding and pushes it below every step
+    out = rows.select("part", "pos", *counters, F.posexplode_outer("_all").alias("_sub", "cells")).filter("cells is not null")
     # a line's counters belong to its first record
     return out.select("part", "pos", F.col("_sub").alias("sub"), "cells", *(F.when(F.col("_sub") == 0, F.col(c)).otherwise(0).alias(c) for c in counters))
 
