@@ -20,6 +20,8 @@ from tabmend.llm.quality import quality_scores
 from tabmend.llm.queries import encoder
 from tabmend.llm.toxicity import toxicity_scores
 
+#: What every stage but the last returns.
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Probabilities at which a document counts as toxic, and as good.
 TOXIC, GOOD = 0.3, 0.5
 
