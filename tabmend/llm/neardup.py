@@ -8,8 +8,9 @@ a bucket. A bucket compares its members with one centre, so it holds as many
 candidate edges as members. Where members of a bucket that were not yet compared
 still lie in different components, further centres, those with most links first,
 are compared in rounds of growing number until nothing is left open. Shingles that
-only one open node holds bound its similarity to all others from above, which
-spares pairs that can't be links. Each candidate is confirmed on the full sets.
+only one open node holds bound its similarity to all others from above, and bitmaps
+of two nodes' shingles bound theirs, which spares pairs that can't be links. Each
+candidate is confirmed on the full sets.
 
 Results in odd cases: a null or blank text has no shingles and no links; rows
 with the same words form one group whatever their white space; a null id takes
@@ -30,10 +31,12 @@ from tabmend.llm.common import TokenHasher, materialize, mix, sequence_keys, shi
 #: At 85 % similarity the chance that no band agrees is (1 - 0.85^5)^25, below one in a million.
 BIN_BITS, BANDS, ROWS = 7, 25, 5
 BINS = 1 << BIN_BITS
-#: Further centres of an open bucket in the second round; four times as many in each later one.
-CENTRES = 16
+#: Further centres of an open bucket in the second round; MORE times as many in each later one.
+CENTRES, MORE = 16, 16
 #: Bits of the filter that spares nodes outside every bucket from having their sets moved.
 FILTER_BITS = 1 << 25
+#: Words of 64 bits in the bitmap of an open node's shingles.
+MAP_WORDS = 16
 #: Shingles that a task counts before it passes them on.
 HELD = 1_000_000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -161,6 +164,27 @@ def _local_counts(batches):
         yield flush()
 
 
+def _bitmaps(batches):
+    """(node, map): a bit is set where a shingle's hash, modulo the number of bits, is its place."""
+    for batch in batches:
+        maps = []
+        for x in batch.column("shingles"):
+            bits = np.zeros(64 * MAP_WORDS, np.uint8)
+            bits[(np.frombuffer(x.as_buffer(), np.uint64) % np.uint64(64 * MAP_WORDS)).astype(np.int64)] = 1
+            maps.append(np.packbits(bits).view(np.int64))
+        values = pa.array(np.concatenate(maps) if maps else np.empty(0, np.int64))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(maps) + 1, dtype=np.int32) * MAP_WORDS), values)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), lists], names=["node", "map"])
+
+
+def _apart(x: str, y: str):
+    """At least so many shingles of x are not in y: places that only x's bitmap has set."""
+    total = F.lit(0)
+    for i in range(MAP_WORDS):
+        total = total + F.bit_count(F.get(x, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(i)))))
+    return total
+
+
 def _confirm(percent: int):
     def run(batches):
         last, left = None, None
@@ -229,12 +253,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     member = nodes.select("node", "n", F.explode("bands").alias("key"))
     centre = member.groupBy("key").agg(F.min(F.struct("node", "n")).alias("c"), F.count("*").alias("size")).filter("size > 1")
     buckets = materialize(member.join(centre, "key").select("key", "node", "n", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n")))
-    links = _links(spark, rows, buckets, percent, k)
-    roots = components(links) if links is not None else None
-    return _labelled(signed, roots, id_col)
+    return _labelled(signed, _roots(spark, rows, buckets, percent, k), id_col)
 
 
-def _links(spark, rows: DataFrame, buckets: DataFrame, percent: int, k: int) -> DataFrame | None:
+def _roots(spark, rows: DataFrame, buckets: DataFrame, percent: int, k: int) -> DataFrame | None:
+    """Components of all links between nodes that share a bucket; nothing where no bucket is shared."""
     word = F.expr(f"cast(conv(hex(substring(node, 5, 4)), 16, 10) as bigint) % {FILTER_BITS}")
     used = buckets.select(word.alias("bit")).distinct().groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).collect()
     if not used:
@@ -254,22 +277,31 @@ def _links(spark, rows: DataFrame, buckets: DataFrame, percent: int, k: int) ->
         state = open_rows.drop("root", "links").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         state = _torn(state.join(degree, "node", "left").withColumn("links", F.coalesce("count", F.lit(0))).drop("count"))
         if not bounded:
-            own = sets.join(state.select("node").distinct(), "node", "left_semi").mapInArrow(_local_counts, "h long, c long, node binary")
+            there = materialize(sets.join(state.select("node").distinct(), "node", "left_semi"))
+            own = there.mapInArrow(_local_counts, "h long, c long, node binary")
             own = own.groupBy("h").agg(F.sum("c").alias("c"), F.min("node").alias("node")).filter("c = 1").groupBy("node").agg(F.count("*").alias("own"))
             state = state.join(own, "node", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
-            state, bounded = _torn(state.filter(F.col("common") * 100 >= F.col("n") * percent)), True
+            keys = buckets.join(state.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_set("key").alias("keys"))
+            maps = there.mapInArrow(_bitmaps, "node binary, map array<bigint>")
+            state = state.filter(F.col("common") * 100 >= F.col("n") * percent).join(keys, "node").join(maps, "node")
+            state, bounded = _torn(state), True
         if state.isEmpty():
-            return links
+            return roots
         rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("links"), "node"))
         ranked = state.withColumn("rank", rank)
-        chosen = ranked.filter(F.col("rank") <= centres).select("key", *(F.col(c).alias(f"c_{c}") for c in ("node", "n", "root", "rank", "common")))
-        most = F.least("common", "c_common")
-        could = (F.col("c_root") != F.col("root")) & (F.col("rank") > F.col("c_rank")) & (most * 100 >= (F.col("n") + F.col("c_n") - most) * percent)
-        more = ranked.join(chosen, "key").filter(could)
+        chosen = ranked.filter(F.col("rank") <= centres).select("key", *(F.col(c).alias(f"c_{c}") for c in ("node", "n", "root", "rank", "common", "keys", "map")))
+        # 100 common >= percent (n + m - common), for each bound of what is common; the dear ones last
+        least = (F.col("n") + F.col("c_n")) * percent
+        able = lambda common: common * (100 + percent) >= least
+        could = (F.col("c_root") != F.col("root")) & (F.col("rank") > F.col("c_rank")) & able(F.col("common")) & able(F.col("c_common"))
+        near = able(F.col("n") - _apart("map", "c_map")) & able(F.col("c_n") - _apart("c_map", "map"))
+        # a pair that shares several buckets is left to the one of the least key
+        here = F.array_min(F.array_intersect("keys", "c_keys")) == F.col("key")
+        more = ranked.join(chosen, "key").filter(could & here & near)
         more = more.select(F.least("c_node", "node").alias("a"), F.greatest("c_node", "node").alias("b")).distinct()
         links = materialize(links.unionByName(confirmed(more, sets, percent)))
-        open_rows = materialize(ranked.filter(F.col("rank") > centres).select("key", "node", "n", "common"))
-        centres *= 4
+        open_rows = materialize(ranked.filter(F.col("rank") > centres).select("key", "node", "n", "common", "keys", "map"))
+        centres *= MORE
 
 
 def _torn(state: DataFrame) -> DataFrame:
