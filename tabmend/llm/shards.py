@@ -49,10 +49,10 @@ def piece_of(splitters: list[tuple[int, int]]):
     return locate
 
 
-def _sampled(rows: DataFrame, n: int) -> list[tuple[int, int]]:
-    """At most n keys, drawn without replacement in proportion to size: those of the least -ln(u) / size."""
-    u = (F.pmod(F.xxhash64(F.lit(3), "_a", "_b"), F.lit(2**52)) + 1) / float(2**52 + 1)
-    drawn = rows.select("_a", "_b", (-F.log(u) / F.col("_size")).alias("p")).orderBy("p", "_a", "_b").limit(n)
+def _sampled(rows: DataFrame, n: int, total: int) -> list[tuple[int, int]]:
+    """About n keys, each drawn with a chance in proportion to its size of `total`."""
+    u = F.pmod(F.xxhash64(F.lit(3), "_a", "_b"), F.lit(2**52)) / float(2**52)
+    drawn = rows.filter(u * total < F.col("_size") * n).select("_a", "_b").distinct()
     return sorted((r["_a"], r["_b"]) for r in drawn.collect())
 
 
@@ -62,7 +62,8 @@ def shard_by_sampled_splitters(df: DataFrame, shards: int, id_col: str = "doc_id
     rows = df.withColumns({"size": (F.octet_length(text) + EXTRA).cast("long"), "text_crc32": F.crc32(text.cast("binary"))})
     keyed = rows.withColumns({"_a": F.xxhash64(text), "_b": F.xxhash64(F.col(id_col)), "_size": F.col("size")})
     keys = keyed.select("_a", "_b", "_size")
-    drawn = _sampled(keys, shards * PIECES * SAMPLED)
+    total = keys.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
+    drawn = _sampled(keys, shards * PIECES * SAMPLED, total)
     step = max(1.0, len(drawn) / (shards * PIECES))
     splitters = sorted({(drawn[int(i * step)][0], -(2**63)) for i in range(min(len(drawn), shards * PIECES))})
     for _ in range(ROUNDS):
@@ -73,7 +74,7 @@ def shard_by_sampled_splitters(df: DataFrame, shards: int, id_col: str = "doc_id
             break
         inside = keys.filter(piece_of(splitters)("_a", "_b").isin(full.index.tolist()))
         wanted = int(np.ceil(4 * full["size"].sum() / most))  # quarters of what a range may hold
-        more = _sampled(inside, wanted * SAMPLED)
+        more = _sampled(inside, wanted * SAMPLED, int(full["size"].sum()))
         splitters = sorted({*splitters, *more[:: SAMPLED if len(more) > wanted else 1]})
     else:
         sums = _sums(keys, splitters)
