@@ -1,13 +1,19 @@
 """Language-model scoring: a weighted backoff automaton over words.
 
-Counts of words, pairs and triples come from every training text. Words that make
-up at least WORD_SHARE of all tokens, and n-grams of them with at least GRAM_SHARE,
-become arcs, so that one over the share bounds the automaton whatever the input.
-Absolute discounting leaves each state a mass that its failure arc passes to the
-next shorter context; the last is the add-half unigram model over all words. A
-text is read once from left to right: the state is carried, failure arcs are
-followed where a word has no arc, and log10 probabilities add up. Words below
-the share leave to the empty context; their exact counts are joined by word.
+Counts of words, pairs and triples come from every training text; n-grams seen at
+least LEAST times become arcs, whatever the size of the input. Absolute discounting
+leaves each state a mass that its failure arc passes to the next shorter context;
+the last is the add-half unigram model over all words.
+
+A text's path through the automaton adds up to one value for each of its words,
+pairs and triples: an arc's value is its log10 probability less what the failure
+path to the same word would have added, and a state's value is that of its failure
+arc. So the automaton is a table of values by key. Keys that make up at least
+WORD_SHARE or GRAM_SHARE of all tokens are looked up in a broadcast copy, which
+one over the share bounds; all others are joined by key. The shares only choose
+where a value is looked up; they don't change any score.
+
+Keys are 64-bit hashes.
 
 Results in odd cases: null and empty texts are the single end token; without any
 training text every count is 0; repeated rows get equal scores, and train as often
@@ -17,93 +23,73 @@ an empty table gives an empty table; columns other than id and text are not read
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabmend.llm.common import LOWER, materialize, small_batches
+from tabmend.llm.common import LOWER, TokenHasher, materialize, mix, small_batches
 
-WORD_SHARE, GRAM_SHARE, DISCOUNT = 2.0**-21, 2.0**-19, 0.6
-#: Entries that a task counts before it passes them on.
-HELD = 600_000
+#: Least count of an arc; shares of all tokens from which a key is broadcast.
+LEAST, WORD_SHARE, GRAM_SHARE, DISCOUNT = 2, 2.0**-21, 2.0**-19, 0.6
+#: Keys that a task counts before it passes them on.
+HELD = 2_000_000
 END = b""
+END_KEY = np.uint64(0x5851F42D4C957F2D)
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
 
 
-def _count_words(batches):
-    counts: Counter[bytes] = Counter()
-
-    def flush():
-        out = pa.record_batch([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "c"])
-        counts.clear()
-        return out
-
-    for batch in batches:
-        for text in batch.column("text").to_pylist():
-            counts.update(words_of(text))
-            counts[END] += 1
-            if len(counts) > HELD:
-                yield flush()
-    if counts:
-        yield flush()
-
-
-def _ids(get, text: str | None, end: int) -> np.ndarray:
-    """Ids of the words between two end tokens; -1 for words without one."""
-    words = words_of(text)
-    out = np.empty(len(words) + 2, np.int64)
-    out[0] = out[-1] = end
-    out[1:-1] = [get(w, -1) for w in words]
-    return out
-
+def _keys(hasher: TokenHasher, column: pa.Array):
+    """Yield ((rows, keys) of words and end tokens, (rows, keys, first, second) of pairs, the same of triples by their two pairs)."""
+    for first, stop, tokens, row in hasher.rows(column):
+        n = np.bincount(row - first, minlength=stop - first)
+        ids = np.full(len(tokens) + 2 * len(n), END_KEY, np.uint64)
+        ids[np.arange(len(tokens)) + 2 * (row - first) + 1] = tokens
+        rows = np.repeat(np.arange(first, stop), n + 2)
+        two = rows[1:] == rows[:-1]
+        pair = mix(mix(ids[:-1]) * np.uint64(0x9FB21C651E98DF25) + ids[1:])
+        three = two[1:] & two[:-1]
+        triple = mix(mix(pair[:-1] + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) + ids[2:])
+        # all but a row's first end token
+        yield (rows[1:][two], ids[1:][two]), (rows[1:][two], pair[two], ids[:-1][two], ids[1:][two]), (rows[2:][three], triple[three], pair[:-1][three], pair[1:][three])
 
-def _count_grams(model, order: int):
-    """Counts of pairs, or of triples both of whose pairs are kept, as codes."""
 
-    def run(batches):
-        vocabulary, pairs = model.value
-        get, end, m = vocabulary.get, vocabulary.get(END, -1), max(1, len(vocabulary))
-        held: list[np.ndarray] = []
-
-        def flush():
-            codes, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.record_batch([pa.array(codes), pa.array(n, pa.int64())], ["code", "c"])
+def _count(batches):
+    hasher = TokenHasher()
+    held: list[list] = [[], [], []]
 
-        size = 0
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                ids = _ids(get, text, end)
-                codes = ids[:-1] * m + ids[1:]
-                codes[(ids[:-1] < 0) | (ids[1:] < 0)] = -1
-                if order == 3:
-                    at = np.minimum(np.searchsorted(pairs, codes), len(pairs) - 1)
-                    at[pairs[at] != codes] = -1
-                    both = (at[:-1] >= 0) & (at[1:] >= 0)
-                    codes = at[:-1][both] * m + ids[2:][both]
-                else:
-                    codes = codes[codes >= 0]
-                if len(codes):
-                    held.append(codes)
-                    size += len(codes)
-            if size > 2 * HELD:
-                yield flush()
+    def flush():
+        for order, parts in enumerate(held, 1):
+            if not parts:
+                continue
+            columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            parts.clear()
+            keys, at, n = np.unique(columns[0], return_index=True, return_counts=True)
+            a, b = (columns[1][at], columns[2][at]) if order > 1 else (np.zeros_like(keys), np.zeros_like(keys))
+            for i in range(0, len(keys), 1 << 16):
+                cut = slice(i, i + (1 << 16))
+                columns_out = [pa.array(x[cut].view(np.int64)) for x in (keys, a, b)]
+                yield pa.record_batch([*columns_out, pa.array(np.full(len(keys[cut]), order, np.int32)), pa.array(n[cut], pa.int64())], ["key", "a", "b", "o", "c"])
+
+    size = 0
+    for batch in batches:
+        for words, pairs, triples in _keys(hasher, batch.column("text")):
+            held[0].append((words[1],))
+            held[1].append(pairs[1:])
+            held[2].append(triples[1:])
+            size += len(words[1])
+            if size > HELD:
+                yield from flush()
                 size = 0
-        if held:
-            yield flush()
-
-    return run
+    yield from flush()
 
 
 class Automaton:
-    """States: 0 is the empty context, 1 + w a word, and after them the kept pairs that triples start with."""
+    """The same model in one piece, for small tables. States: 0 is the empty context, 1 + w a word, and after them the kept pairs that triples start with."""
 
     def __init__(self, words: list[bytes], counts: np.ndarray, tokens: int, distinct: int, pairs: np.ndarray, pair_counts: np.ndarray, triples: np.ndarray, triple_counts: np.ndarray) -> None:
         m = self.m = max(1, len(words))
@@ -136,56 +122,58 @@ class Automaton:
 
 
 def _score(model):
+    """Sums of broadcast values for each text; keys that are not among them are passed on."""
+
     def run(batches):
-        auto = model.value
-        get, m, end = auto.vocabulary.get, auto.m, auto.vocabulary.get(END, -1)
-        arcs = dict(zip(auto.codes.tolist(), range(len(auto.codes)), strict=True)).get
-        logs, to, backoff, fail, leave, unigram = (x.tolist() for x in (auto.logs, auto.next, auto.backoff, auto.fail, auto.leave, auto.unigram))
+        known, values, base = model.value
+        hasher = TokenHasher()
         for batch in batches:
-            out: list[list] = [[] for _ in range(4)]
-            rare_words: list[bytes] = []
-            rare_counts: list[int] = []
-            offsets = [0]
-            for text in batch.column("text").to_pylist():
-                words = words_of(text)
-                words.append(END)
-                state, total, base, known, rare = 1 + end if end >= 0 else 0, 0.0, 0.0, 0, []
-                for word in words:
-                    w = get(word, -1)
-                    if w < 0:
-                        total += leave[state]
-                        state = 0
-                        rare.append(word)
-                        continue
-                    base += unigram[w]
-                    while state:
-                        arc = arcs(state * m + w)
-                        if arc is not None:
-                            total += logs[arc]
-                            state = to[arc]
-                            break
-                        total += backoff[state]
-                        state = fail[state]
-                    else:
-                        total += unigram[w]
-                        state = 1 + w
-                counted = Counter(rare)
-                rare_words.extend(counted.keys())
-                rare_counts.extend(counted.values())
-                offsets.append(len(rare_words))
-                for column, value in zip(out, (len(words), len(words) - len(rare), base, total), strict=True):
-                    column.append(value)
-            pairs = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], ["word", "n"])
-            arrays = [batch.column("id"), batch.column("held_out"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64())]
-            yield pa.record_batch([*arrays, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)], ["id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
+            n = batch.num_rows
+            tokens, found, own = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((2, n))
+            rest: list[tuple] = []
+            for parts in _keys(hasher, batch.column("text")):
+                for order, (rows, keys, *_) in enumerate(parts, 1):
+                    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                    hit = known[at] == keys
+                    here, at = rows[hit], at[hit]
+                    own[1] += np.bincount(here, values[at], n)
+                    if order == 1:
+                        tokens += np.bincount(rows, minlength=n)
+                        found += np.bincount(here, minlength=n)
+                        own[0] += np.bincount(here, base[at], n)
+                    rest.append((rows[~hit], keys[~hit]))
+            rows, keys = (np.concatenate(x) for x in zip(*rest, strict=True)) if rest else (np.empty(0, np.int64), np.empty(0, np.uint64))
+            keys = keys[np.argsort(rows, kind="stable")]
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64)))
+            yield pa.record_batch([batch.column("id"), batch.column("held_out"), pa.array(tokens), pa.array(found), pa.array(own[0]), pa.array(own[1]), lists], ["id", "held_out", "n_tokens", "n_known", "base_score", "score", "rest"])
 
     return run
 
 
-def _kept_grams(texts: DataFrame, model, order: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    counts = texts.mapInArrow(_count_grams(model, order), "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
-    got = counts.filter(F.col("c") >= least).orderBy("code").toArrow()  # at most 1 / GRAM_SHARE rows but for tiny inputs
-    return got.column("code").to_numpy(), got.column("c").to_numpy()
+def _log_mass(kept: str, lower: str) -> Column:
+    return F.log10(F.greatest(1 - F.sum(kept), F.lit(1e-12)) / F.greatest(1 - F.sum(lower), F.lit(1e-12)))
+
+
+def _values(counts: DataFrame, norm: float) -> DataFrame:
+    """key, o (words in the key), c, base (a word's own log10 probability), value."""
+    one = lambda c: (F.col(c) + 0.5) / F.lit(norm)
+    words = counts.filter("o = 1").select("key", "c")
+    first, second = (words.select(F.col("key").alias(k), F.col("c").alias(f"c_{k}")) for k in ("a", "b"))
+    pairs = counts.filter("o = 2").select("key", "a", "b", "c").join(first, "a").join(second, "b")
+    pairs = materialize(pairs.select("key", "a", "c", ((F.col("c") - DISCOUNT) / F.col("c_a")).alias("two"), one("c_b").alias("one")))
+    after_word = materialize(pairs.groupBy("a").agg(_log_mass("two", "one").alias("back")))
+    upper, lower = pairs.select(F.col("key").alias("a"), F.col("c").alias("c_a")), pairs.select(F.col("key").alias("b"), "two")
+    triples = counts.filter("o = 3").select("key", "a", "b", "c").join(upper, "a").join(lower, "b")
+    triples = materialize(triples.select("key", "a", "c", ((F.col("c") - DISCOUNT) / F.col("c_a")).alias("three"), "two"))
+    after_pair = materialize(triples.groupBy("a").agg(_log_mass("three", "two").alias("back")))
+    none, of_key = F.lit(0.0), lambda t: t.select(F.col("a").alias("key"), F.col("back").alias("own"))
+    own = F.coalesce("own", none)
+    w = words.join(of_key(after_word), "key", "left").select("key", F.lit(1).alias("o"), "c", F.log10(one("c")).alias("base"), (F.log10(one("c")) + own).alias("value"))
+    p = pairs.join(after_word, "a").join(of_key(after_pair), "key", "left")
+    p = p.select("key", F.lit(2).alias("o"), "c", none.alias("base"), (F.log10("two") - F.col("back") - F.log10("one") + own).alias("value"))
+    t = triples.join(after_pair, "a").select("key", F.lit(3).alias("o"), "c", none.alias("base"), (F.log10("three") - F.col("back") - F.log10("two")).alias("value"))
+    return materialize(w.unionByName(p).unionByName(t))
 
 
 def lm_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,26 +182,26 @@ def lm_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     small_batches(spark)
     rows = df.select(F.col(id_col).alias("id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
     texts = rows.filter(~F.col("held_out")).select("text")
-    counts = materialize(texts.mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
-    tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = counts.filter(F.col("c") >= max(2.0, tokens * WORD_SHARE)).orderBy(F.desc("c"), "word").toArrow()
-    words, word_counts = frequent.column("word").to_pylist(), frequent.column("c").to_numpy()
-    vocabulary = {w: i for i, w in enumerate(words)}
-    least = max(2.0, tokens * GRAM_SHARE)
-    empty = np.empty(0, np.int64)
-    pairs, pair_counts, triples, triple_counts = empty, empty, empty, empty
-    if words:
-        pairs, pair_counts = _kept_grams(texts, spark.sparkContext.broadcast((vocabulary, None)), 2, least)
-    if len(pairs):
-        triples, triple_counts = _kept_grams(texts, spark.sparkContext.broadcast((vocabulary, pairs)), 3, least)
-    auto = Automaton(words, word_counts, tokens, distinct, pairs, pair_counts, triples, triple_counts)
-    norm = auto.norm
+    counts = texts.mapInArrow(_count, "key long, a long, b long, o int, c long").groupBy("o", "key").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.sum("c").alias("c"))
+    counts = materialize(counts.filter((F.col("o") == 1) | (F.col("c") >= LEAST)))
+    tokens, distinct = counts.filter("o = 1").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    norm = tokens + 0.5 * (distinct + 1)
+    values = _values(counts, norm)
+    common = F.col("c") >= F.when(F.col("o") == 1, tokens * WORD_SHARE).otherwise(tokens * GRAM_SHARE)
+    got = values.filter(common).select("key", "value", "base").toArrow()  # at most 1 / WORD_SHARE + 2 / GRAM_SHARE rows
+    keys = got.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    # a last entry that no key reaches, so that an empty table can be searched
+    table = [np.append(x[order], x.dtype.type(0)) for x in (got.column("value").to_numpy(), got.column("base").to_numpy())]
+    model = spark.sparkContext.broadcast((np.append(keys[order], np.uint64(2**64 - 1)), *table))
     shape = T.StructType().add("id", df.schema[id_col].dataType).add("held_out", "boolean").add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double")
-    shape = shape.add("rare", T.ArrayType(T.StructType().add("word", "binary").add("n", "long")))
-    local = rows.mapInArrow(_score(spark.sparkContext.broadcast(auto)), shape)
+    local = rows.mapInArrow(_score(model), shape.add("rest", T.ArrayType(T.LongType())))
     local = materialize(local.withColumn("row", F.monotonically_increasing_id()))
-    rare = local.select("row", F.inline("rare")).join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    rare = rare.groupBy("row").agg(F.sum(F.col("n") * F.log10((F.col("c") + 0.5) / F.lit(norm))).alias("log"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"))
-    out = local.drop("rare").join(rare, "row", "left")
-    log, known = F.coalesce("log", F.lit(0.0)), F.coalesce("known", F.lit(0))
-    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + known).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base_score") + log).alias("base_score"), (F.col("score") + log).alias("score"))
+    joined = local.select("row", F.explode("rest").alias("key")).join(values.filter(~common).select("key", "o", "base", "value"), "key")
+    joined = joined.groupBy("row").agg(F.sum("base").alias("b"), F.sum("value").alias("v"), F.sum(F.when(F.col("o") == 1, 1).otherwise(0)).alias("k"))
+    out = local.drop("rest").join(joined, "row", "left")
+    out = out.withColumn("n_known", F.col("n_known") + F.coalesce("k", F.lit(0)))
+    # words that no training text has
+    new = (F.col("n_tokens") - F.col("n_known")) * F.log10(F.lit(0.5 / norm))
+    base, score = (F.col(c) + F.coalesce(x, F.lit(0.0)) + new for c, x in (("base_score", "b"), ("score", "v")))
+    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))

@@ -66,6 +66,53 @@ def test_automaton_states_are_distributions():
         assert total == pytest.approx(1, abs=1e-9)
 
 
+def backoff_scores(rows, trains):
+    """Scores of a backoff model whose arcs are all n-grams seen twice or more."""
+    d, grams = 0.6, [Counter() for _ in range(3)]
+    for i, t in rows:
+        if trains(i):
+            ids = [END, *words_of(t), END]
+            grams[0].update(ids[1:])
+            for n in (2, 3):
+                grams[n - 1].update(zip(*(ids[k:] for k in range(n)), strict=False))
+    one, two, three = grams
+    two, three = ({g: c for g, c in x.items() if c >= 2} for x in (two, three))
+    norm = sum(one.values()) + 0.5 * (len(one) + 1)
+    uni = lambda w: (one[w] + 0.5) / norm
+    p2 = lambda v, w: (two[v, w] - d) / one[v]
+    kept, lower = Counter(), Counter()
+    for v, w in two:
+        kept[v] += p2(v, w)
+        lower[v] += uni(w)
+    for u, v, w in three:
+        kept[u, v] += (three[u, v, w] - d) / two[u, v]
+        lower[u, v] += p2(v, w)
+    back = lambda s: max(1 - kept[s], 1e-12) / max(1 - lower[s], 1e-12)
+
+    def p(u, v, w):
+        if (u, v, w) in three:
+            return (three[u, v, w] - d) / two[u, v]
+        return back((u, v)) * (p2(v, w) if (v, w) in two else back(v) * uni(w))
+
+    out = {}
+    for i, t in rows:
+        ids = [None, END, *words_of(t), END]
+        out[i] = sum(math.log10(p(*ids[k : k + 3])) for k in range(len(ids) - 2))
+    return out
+
+
+@pytest.mark.parametrize("share", [2.0**-21, 2.0**-5, 2.0])
+def test_scores_hold_every_gram_whatever_its_share(spark, make_docs, fold, monkeypatch, share):
+    # shares of a large corpus: what falls below them is joined, not lost
+    for name in ("WORD_SHARE", "GRAM_SHARE"):
+        monkeypatch.setattr(f"tabmend.llm.ngram_lm.{name}", share)
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(WORDS[: 3 + i % 17]) + rng.choice(["", "", "", str(i)]) for _ in range(rng.randrange(50)))) for i in range(120)] + [(500, None), (501, "Alpha ALPHA unseen")]
+    out = {r["doc_id"]: r for r in lm_scores(make_docs(rows), remainder("doc_id", 5) == 1).collect()}
+    for i, score in backoff_scores(rows, lambda i: fold(i, 5) != 1).items():
+        assert out[i]["score"] == pytest.approx(score, abs=1e-9)
+
+
 def test_lm_odd_rows(spark, make_docs, odd_rows):
     out = lm_scores(make_docs(odd_rows), remainder("doc_id", 5) == 1).collect()
     assert len(out) == len(odd_rows) and all(math.isfinite(r["score"]) for r in out)
