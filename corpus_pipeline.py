@@ -24,6 +24,8 @@ from tabmend.llm.toxicity import toxicity_scores
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Probabilities at which a document counts as toxic, and as good.
 TOXIC, GOOD = 0.3, 0.5
+#: Per cent of shared shingles at which documents count as near duplicates; op6's 85 is that query's own.
+NEAR = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component, that of the least id; of rows equal in id and text, one."""
-    found = near_duplicates(docs).filter("kept")
+    found = near_duplicates(docs, percent=NEAR).filter("kept")
     first = F.row_number().over(Window.partitionBy("group").orderBy("doc_id", "text_hash"))
     alone = found.filter("group is null").select("doc_id", "text_hash")
     stays = found.filter("group is not null").withColumn("_n", first).filter("_n = 1").select("doc_id", "text_hash").unionByName(alone)

@@ -38,6 +38,16 @@ def test_every_stage_decides(spark, tmp_path):
     assert out.agg(F.sum("length")).first()[0] > 0
 
 
+def test_near_duplicates_from_four_fifths(spark, make_docs):
+    a, b = [f"a{i}" for i in range(104)], [f"b{i}" for i in range(104)]
+    # of 100 shingles each, 90 are common to 1 and 2 (similarity 0.82), 88 to 3 and 4 (0.79)
+    other = [f"c{i}" for i in range(12)]
+    texts = [a, a[:94] + other[:10], b, b[:92] + other]
+    docs = make_docs([(i, " ".join(w)) for i, w in enumerate(texts, 1)]).select(*corpus_pipeline.COLUMNS)
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert kept == {1, 3, 4}
+
+
 def test_an_empty_table_goes_through(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
