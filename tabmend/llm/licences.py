@@ -1,9 +1,12 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences at line breaks and after `.`, `!` or `?` with white
-space behind. Sentences are normalised (A-Z lower-cased, everything but a-z and
-0-9 one space) and looked up in a table of known licence sentences, which gives
-each an identifier. The identifiers, in text order and with unknown sentences left
+A text is cut into lines at line breaks and after `.`, `!` or `?` with white space
+behind. Lines are normalised (A-Z lower-cased, everything but a-z and 0-9 one
+space, so that comment marks go). A known licence sentence stands where its words
+fill one line or several that follow each other; lines without letters or digits
+part paragraphs, which no sentence spans. Sentences of longer notices may also start
+or end at `;` or `:` with white space behind. Each sentence has an identifier.
+The identifiers, in text order and with unknown sentences left
 out, are matched against ordered rules: a licence is found where a rule's
 identifiers stand in this order without another identifier between. Texts without
 a trigger word, of which every known sentence holds one, are passed over at once.
@@ -94,14 +97,35 @@ def rule_table() -> list[tuple[str, str]]:
     return [(licence, "|" + "|".join(ids) + "|") for licence, ids in rules]
 
 
+def _words(sentences: list[str]) -> str:
+    """A regular expression of normalised sentences whose words stand on one line or on several."""
+    rest: dict[str, list[str]] = {}
+    for sentence in sorted(sentences):
+        word, _, more = sentence.partition(" ")
+        rest.setdefault(word, []).append(more)
+    out = []
+    for word, more in rest.items():
+        longer = [m for m in more if m]
+        # a sentence that ends here goes before those that continue
+        ways = ([""] if "" in more else []) + ([f"[ |]{_words(longer)}"] if longer else [])
+        out.append(word + (ways[0] if len(ways) == 1 else f"(?:(?=[|~])|{ways[1]})"))
+    return out[0] if len(out) == 1 else f"(?:{'|'.join(out)})"
+
+
 def sentence_ids(text: Column) -> Column:
     """Identifiers of a text's known sentences, in order."""
     table = sentence_table()
-    lower = F.translate(F.regexp_replace(text, r"([.!?])[ \t]+", "$1\n"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    told = F.filter(F.split(lower, "[\r\n]+"), lambda s: _triggered(s))
-    plain = F.transform(told, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+    long = [normalised(s) for s in SENTENCES.values()]
+    lower = F.translate(F.regexp_replace(text, r"([.!?])[ \t]+", "$1\n"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ|~", "abcdefghijklmnopqrstuvwxyz  ")
+    plain = F.regexp_replace(F.regexp_replace(lower, r"[;:][ \t]+", "~"), r"\r\n?|\n", "|")
+    plain = F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9|~]+", " "), " ?([|~]) ?", "$1")
+    plain = F.concat(F.lit("|"), F.trim(plain), F.lit("|"))
+    short = [s for s in table if s not in set(long)]
+    # `~` parts only the sentences of longer notices
+    notice = F.lit(rf"([|~]{_words(long)}(?=[|~])|\|{_words(short)}(?=\|))")
     known = F.create_map(*(F.lit(x) for pair in sorted(table.items()) for x in pair))
-    return F.filter(F.transform(plain, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
+    found = F.regexp_extract_all(plain, notice, F.lit(1))
+    return F.filter(F.transform(found, lambda s: F.try_element_at(known, F.trim(F.translate(s, "|~", "  ")))), lambda i: i.isNotNull())
 
 
 def _triggered(text: Column) -> Column:
@@ -129,7 +153,7 @@ def licence_matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def oracle() -> str:
-    """DuckDB SQL of the same result over documents(doc_id, text)."""
+    """DuckDB SQL over documents(doc_id, text): the same result where every known sentence fills a line of its own."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({quote(s)}, {quote(i)})" for s, i in sorted(sentence_table().items()))
     rules = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in rule_table())

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import pytest
 
@@ -109,6 +110,31 @@ def test_licence_rules(spark, make_docs):
     assert found == {(1, "MIT"), (2, "MIT"), (3, "BSD-3-Clause"), (4, "Apache-2.0"), (7, "CC-BY-NC-4.0"), (7, "MIT")}
 
 
+def test_licences_over_hard_wrapped_lines(spark, make_docs):
+    whole = {
+        "MIT": ["mit-grant", "mit-notice", "mit-warranty"],
+        "ISC": ["isc-grant"],
+        "BSD-2-Clause": ["bsd-grant", "bsd-source", "bsd-binary"],
+        "BSD-3-Clause": ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"],
+        "Apache-2.0": ["apache-use", "apache-comply", "apache-copy"],
+    }
+    docs, wanted = [], set()
+    for licence, ids in whole.items():
+        for mark in ("", "# ", " * ", "// "):
+            for width, end in ((40, "\n"), (76, "\r\n")):
+                for gap in (True, False):
+                    parts = [f"{n}. {licences.SENTENCES[k]}" if k in ("bsd-source", "bsd-binary") else licences.SENTENCES[k] for n, k in enumerate(ids)]
+                    parts = parts if gap else [" ".join(parts)]
+                    lines = ["Copyright (c) 2020 A. Holder", ""] + "\n\n".join("\n".join(textwrap.wrap(x, width)) for x in parts).split("\n") + ["", "code()"]
+                    wanted.add((len(docs), licence, len(ids)))
+                    docs.append((len(docs), end.join(mark + x for x in lines)))
+    words = licences.SENTENCES["isc-grant"].split()
+    docs.append((900, " ".join(words[:9]) + "\n\n" + " ".join(words[9:])))  # two paragraphs
+    docs.append((901, "This work is licensed\nunder the MIT License."))
+    found = {(r["doc_id"], r["licence"], r["n_sentences"]) for r in licences.licence_matches(make_docs(docs)).collect()}
+    assert found == wanted | {(901, "MIT", 1)}
+
+
 def test_licence_tables_and_odd_rows(spark, make_docs, odd_rows):
     for sentence in licences.sentence_table():
         assert any(t in sentence for t in licences.TRIGGERS), sentence
