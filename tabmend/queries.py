@@ -366,7 +366,16 @@ for _name in ("customer", "part", "supplier", "region"):
 
 @query("SELECT o_orderkey::VARCHAR AS k, o_orderpriority AS p, o_totalprice::VARCHAR AS t FROM orders WHERE o_orderkey % 50 = 0")
 def sqldump_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").filter("o_orderkey % 50 = 0").select("o_orderkey", "o_orderpriority", F.col("o_totalprice").cast("string"))
+    return dumped_orders(spark, table(spark, sf_dir, "orders").filter("o_orderkey % 50 = 0"))
+
+
+@query("SELECT o_orderkey::VARCHAR AS k, o_orderpriority AS p, o_totalprice::VARCHAR AS t FROM orders")
+def sqldump_orders_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dumped_orders(spark, table(spark, sf_dir, "orders"))
+
+
+def dumped_orders(spark: SparkSession, orders: DataFrame) -> DataFrame:
+    rows = orders.select("o_orderkey", "o_orderpriority", F.col("o_totalprice").cast("string"))
     path = folder(spark) / "d.sql"
     with path.open("w") as f:
         f.write("CREATE TABLE `o` (k int, p text, t text);\n")

@@ -133,3 +133,12 @@ def test_parquet_text_and_rows(spark, tmp_path):
     names, rows, _ = opened(spark, tmp_path / "p", "parquet")
     assert (names, rows[0]) == (["id", "d", "t", "a", "n"], ["1", "10000000000.0", "2024-01-02T03:04:05.5", "[1,2]", ""])
     assert [r["id"] for r in rows_at(spark, str(tmp_path / "p"), [2, 0, 99]).orderBy("id").collect()] == [1, 3]
+
+
+def test_dump_query_reads_back_every_order(spark, tmp_path):
+    rows = [(i, "1-URGENT", 100.25 + i) for i in range(1, 201)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderpriority string, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    from tabmend.queries import QUERIES
+
+    out = QUERIES["sqldump_orders_whole"](spark, str(tmp_path)).collect()
+    assert sorted((int(r["k"]), r["p"], float(r["t"])) for r in out) == rows
