@@ -298,7 +298,15 @@ def names_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, text FROM documents WHERE lang = 'fr'")
 def fallback_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "documents").filter("lang = 'fr'")
+    return fallback_decoded(table(spark, sf_dir, "documents").filter("lang = 'fr'"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def fallback_decode_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fallback_decoded(table(spark, sf_dir, "documents"))
+
+
+def fallback_decoded(df: DataFrame) -> DataFrame:
     data = F.coalesce(charset.encode_single_byte(F.col("text"), "windows-1252"), F.encode("text", "UTF-8"))
     raw = data.cast("string")
     back = F.when(F.is_valid_utf8(raw), raw).otherwise(charset.decode_single_byte(data, "windows-1252"))

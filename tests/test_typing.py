@@ -140,3 +140,12 @@ def test_detection():
     assert charset.detect_encoding("Съешь ещё этих мягких французских булок".encode("cp1251")) == "windows-1251"
     assert charset.detect_encoding("L'été à la forêt, où êtes-vous passé déjà".encode("cp1252")) == "windows-1252"
     assert charset.detect_encoding("これはテストです。よろしくおねがいします".encode("cp932")) == "shift_jis"
+
+
+def test_fallback_query_decodes_every_language(spark, tmp_path):
+    rows = [(1, "größer als", "de"), (2, "mañana", "es"), (3, "it’s plain", "en"), (4, "naïve", None), (5, "déjà", "fr"), (6, "日本 größer", None), (7, None, "de"), (8, "", "es")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    from tabmend.queries import QUERIES
+
+    out = QUERIES["fallback_decode_whole"](spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in out) == [r[:2] for r in rows]
