@@ -4,7 +4,8 @@ A text's words (split at white space, as written) give its k-word pieces, each
 numbered by how often it came before. Every numbered piece gets a hash whose
 leading bits name one of BINS bins; a bin keeps the TAKEN pieces of the least
 hashes, puts them back in the order in which they stand in the text, and hashes
-that tuple. Texts agree on a bin where its pieces and their order agree, so the
+that tuple. Where `dense` is set, a bin with fewer pieces takes the least of the bins
+that follow, cyclically, so that bins of short texts hold an order too. Texts agree on a bin where its pieces and their order agree, so the
 share of equal bins falls with the edit distance. Bins that are empty in both
 texts don't count.
 
@@ -35,8 +36,8 @@ def _packed(h: Column, at: Column) -> Column:
     return h.bitwiseAND(F.lit(-(1 << POSITION))).bitwiseOR(at.cast("long"))
 
 
-def with_bins(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with the array `out` of BINS tuple hashes (0: an empty bin) of the column `text`."""
+def with_bins(df: DataFrame, text: str, out: str, dense: bool = False) -> DataFrame:
+    """df with the array `out` of BINS tuple hashes (0: an empty bin) of the column `text`; dense: bins take what they lack from the next."""
     words = F.split(F.trim(F.regexp_replace(F.col(text), r"[\x20\x09-\x0D]+", " ")), " ")
     df = df.withColumn("_w", F.when(F.trim(F.regexp_replace(F.col(text), r"[\x20\x09-\x0D]+", " ")) == "", F.array().cast("array<string>")).otherwise(words))
     n = F.size("_w")
@@ -60,7 +61,13 @@ def with_bins(df: DataFrame, text: str, out: str) -> DataFrame:
     whole = lambda at: F.array_join(F.slice(F.col("_w"), at.cast("int"), K), " ")
 
     def tuple_hash(b: Column) -> Column:
-        own = F.sort_array(F.transform(F.filter("_l", lambda x: bin_of(x) == b), place))
+        if dense:
+            # the sign bit comes first in the order of hashes
+            before = F.size(F.filter("_l", lambda x: bin_of(x).bitwiseXOR(F.lit(BINS // 2)) < b.bitwiseXOR(F.lit(BINS // 2))))
+            least = F.slice(F.concat("_l", "_l"), before + 1, F.least(F.lit(TAKEN), F.size("_l")))
+        else:
+            least = F.filter("_l", lambda x: bin_of(x) == b)
+        own = F.sort_array(F.transform(least, place))
         return F.when(F.size(own) > 0, F.xxhash64(F.transform(own, whole)).bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.lit(0).cast("long"))
 
     bins = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), tuple_hash)
@@ -115,17 +122,17 @@ def _rank(value: Column, ends: list, low: int, high: int) -> Column:
     return F.when(value >= F.lit(ends[middle]), _rank(value, ends, middle + 1, high)).otherwise(_rank(value, ends, low, middle))
 
 
-def order_minhash(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def order_minhash(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dense: bool = False) -> DataFrame:
     """Per row of df: id, n_chars, fingerprint, and those of the text whose last quarter the next text's start replaces."""
     spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     parts = max(1, min(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    both = with_next(with_bins(rows, "text", "bins"), parts)
+    both = with_next(with_bins(rows, "text", "bins", dense), parts)
     chars = F.length("text")
     quarter = F.floor(chars / 4).cast("int")
     both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), chars - quarter), F.substring("next_text", F.lit(1), quarter)))
     both = both.withColumn("n_chars", chars.cast("long")).drop("text", "next_text")
-    both = with_bins(both, "edited", "edited_bins")
+    both = with_bins(both, "edited", "edited_bins", dense)
     return both.select(
         F.col("id").alias(id_col),
         "n_chars",

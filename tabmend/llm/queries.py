@@ -58,7 +58,7 @@ def op7_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_minhash(read(spark, sf_dir, "documents"))
+    return order_minhash(read(spark, sf_dir, "documents"), dense=True)
 
 
 def encoder(path: str | None = None):

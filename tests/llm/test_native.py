@@ -9,6 +9,7 @@ from tabmend.llm import licences
 from tabmend.llm.decontam import contaminated, decontaminated
 from tabmend.llm.langid import languages
 from tabmend.llm.omh import order_minhash
+from tabmend.llm.queries import op8_order_minhash
 
 from . import omh_reference
 from .conftest import WORDS
@@ -91,6 +92,21 @@ def test_order_minhash_sees_order():
     assert omh_reference.likeness(" ".join(words), " ".join(words[:-10])) > omh_reference.likeness(" ".join(words), " ".join(moved)) > 0
 
 
+def test_order_minhash_sees_order_in_short_texts(spark, make_docs, tmp_path):
+    rng, docs, lengths = random.Random(4), [], (20, 40, 60, 80)
+    for i in range(20 * len(lengths)):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(lengths[i % len(lengths)])]
+        half = len(words) // 2
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[half:] + words[:half]))]
+    docs += [(1000, "a b c d"), (1001, "one"), (1002, ""), (1003, None)]
+    make_docs(docs).write.parquet(str(tmp_path / "documents.parquet"))
+    near = {r["doc_id"]: r["near_next"] for r in op8_order_minhash(spark, str(tmp_path)).collect()}
+    for at, n in enumerate(lengths):
+        swapped = [near[2 * i] for i in range(20 * len(lengths)) if i % len(lengths) == at]
+        assert sum(swapped) / len(swapped) < 0.6, n
+    assert near[1002] == 1.0
+
+
 def test_order_minhash_odd_rows(spark, make_docs, odd_rows):
     out = order_minhash(make_docs(odd_rows)).collect()
     assert len(out) == len(odd_rows)
