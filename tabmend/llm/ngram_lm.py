@@ -1,19 +1,24 @@
 """Language-model scoring: a weighted backoff automaton over words.
 
-Counts of words, pairs and triples come from every training text; n-grams seen at
-least LEAST times become arcs, whatever the size of the input. Absolute discounting
-leaves each state a mass that its failure arc passes to the next shorter context;
-the last is the add-half unigram model over all words.
+States are contexts: nothing, a word, or a pair of words. Every pair and triple of
+words that training texts hold at least LEAST times is an arc, whatever the size
+of the input. Absolute discounting leaves each state a mass that its failure arc
+passes to the next shorter context; the last is the add-half unigram model over
+all words. A text is walked from left to right: from the state of its last two
+words an arc is taken where there is one, else failure arcs are, and the logs of
+what was passed add up.
 
-A text's path through the automaton adds up to one value for each of its words,
-pairs and triples: an arc's value is its log10 probability less what the failure
-path to the same word would have added, and a state's value is that of its failure
-arc. So the automaton is a table of values by key. Keys that make up at least
-WORD_SHARE or GRAM_SHARE of all tokens are looked up in a broadcast copy, which
-one over the share bounds; all others are joined by key. The shares only choose
-where a value is looked up; they don't change any score.
+The automaton grows with the corpus, so no task holds all of it. Texts become
+chunks of some CHUNK_TOKENS tokens, coded by the chunk's own vocabulary and written
+once. A chunk asks for what its walk needs: it sends its distinct keys, sorted,
+cut by ranges of the hash space and packed, and gets one answer for each key in the
+same order. There are three questions: counts of its words and pairs; counts of
+triples whose pairs were both kept (no other can be an arc); and the masses of its
+states, for which the chunk that comes first among a kept n-gram's holders adds
+that n-gram to its state's sums. A key reaches its range once for each chunk at
+most, however often it occurs, so no key is hot.
 
-Keys are 64-bit hashes.
+Keys are 63-bit hashes and a bit that tells words from longer n-grams.
 
 Results in odd cases: null and empty texts are the single end token; without any
 training text every count is 0; repeated rows get equal scores, and train as often
@@ -23,185 +28,349 @@ an empty table gives an empty table; columns other than id and text are not read
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabmend.llm.common import LOWER, TokenHasher, materialize, mix, small_batches
+from tabmend.llm.common import LOWER, TokenHasher, materialize, mix, small_batches, tidy
 
-#: Least count of an arc; shares of all tokens from which a key is broadcast.
-LEAST, WORD_SHARE, GRAM_SHARE, DISCOUNT = 2, 2.0**-21, 2.0**-19, 0.6
-#: Keys that a task counts before it passes them on.
-HELD = 2_000_000
+#: Least count of an arc, and what is taken off each count.
+LEAST, DISCOUNT = 2, 0.6
+#: Tokens from which a chunk is closed, and tokens for each range of keys: they bound a task's memory.
+CHUNK_TOKENS, RANGE_TOKENS = 1_000_000, 3_000_000
 END = b""
 END_KEY = np.uint64(0x5851F42D4C957F2D)
+LONGER = np.uint64(1)
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
 
 
-def _keys(hasher: TokenHasher, column: pa.Array):
-    """Yield ((rows, keys) of words and end tokens, (rows, keys, first, second) of pairs, the same of triples by their two pairs)."""
-    for first, stop, tokens, row in hasher.rows(column):
-        n = np.bincount(row - first, minlength=stop - first)
-        ids = np.full(len(tokens) + 2 * len(n), END_KEY, np.uint64)
-        ids[np.arange(len(tokens)) + 2 * (row - first) + 1] = tokens
-        rows = np.repeat(np.arange(first, stop), n + 2)
-        two = rows[1:] == rows[:-1]
-        pair = mix(mix(ids[:-1]) * np.uint64(0x9FB21C651E98DF25) + ids[1:])
-        three = two[1:] & two[:-1]
-        triple = mix(mix(pair[:-1] + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) + ids[2:])
-        # all but a row's first end token
-        yield (rows[1:][two], ids[1:][two]), (rows[1:][two], pair[two], ids[:-1][two], ids[1:][two]), (rows[2:][three], triple[three], pair[:-1][three], pair[1:][three])
-
-
-def _count(batches):
-    hasher = TokenHasher()
-    held: list[list] = [[], [], []]
-
-    def flush():
-        for order, parts in enumerate(held, 1):
-            if not parts:
-                continue
-            columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            parts.clear()
-            keys, at, n = np.unique(columns[0], return_index=True, return_counts=True)
-            a, b = (columns[1][at], columns[2][at]) if order > 1 else (np.zeros_like(keys), np.zeros_like(keys))
-            for i in range(0, len(keys), 1 << 16):
-                cut = slice(i, i + (1 << 16))
-                columns_out = [pa.array(x[cut].view(np.int64)) for x in (keys, a, b)]
-                yield pa.record_batch([*columns_out, pa.array(np.full(len(keys[cut]), order, np.int32)), pa.array(n[cut], pa.int64())], ["key", "a", "b", "o", "c"])
-
-    size = 0
-    for batch in batches:
-        for words, pairs, triples in _keys(hasher, batch.column("text")):
-            held[0].append((words[1],))
-            held[1].append(pairs[1:])
-            held[2].append(triples[1:])
-            size += len(words[1])
-            if size > HELD:
-                yield from flush()
-                size = 0
-    yield from flush()
-
-
-class Automaton:
-    """The same model in one piece, for small tables. States: 0 is the empty context, 1 + w a word, and after them the kept pairs that triples start with."""
-
-    def __init__(self, words: list[bytes], counts: np.ndarray, tokens: int, distinct: int, pairs: np.ndarray, pair_counts: np.ndarray, triples: np.ndarray, triple_counts: np.ndarray) -> None:
-        m = self.m = max(1, len(words))
-        self.vocabulary = {w: i for i, w in enumerate(words)}
-        self.norm = tokens + 0.5 * (distinct + 1)
-        one = (counts + 0.5) / self.norm
-        self.unigram = np.log10(one)
-        a, b = pairs // m, pairs % m
-        two = (pair_counts - DISCOUNT) / np.maximum(counts[a], 1)
-        self.backoff = np.zeros(1 + m + len(pairs))
-        self.backoff[1 : 1 + m] = self._mass(np.bincount(a, two, m), np.bincount(a, one[b], m))
-        pair, c = triples // m, triples % m
-        three = (triple_counts - DISCOUNT) / np.maximum(pair_counts[pair], 1)
-        lower = two[np.searchsorted(pairs, b[pair] * m + c)] if len(pair) else three
-        self.backoff[1 + m :] = self._mass(np.bincount(pair, three, len(pairs)), np.bincount(pair, lower, len(pairs)))
-        self.fail = np.zeros(len(self.backoff), np.int64)
-        self.fail[1 + m :] = 1 + b
-        # an arc leads to the pair's state only where triples start there
-        deep = np.bincount(pair, minlength=len(pairs)) > 0
-        self.codes = np.concatenate([(1 + a) * m + b, (1 + m + pair) * m + c])
-        self.logs = np.log10(np.concatenate([two, three]))
-        to = np.where(deep, 1 + m + np.arange(len(pairs)), 1 + b)
-        after = np.searchsorted(pairs, b[pair] * m + c) if len(pair) else pair
-        self.next = np.concatenate([to, to[after]])
-        self.leave = self.backoff + self.backoff[self.fail]
+# Packing
 
-    @staticmethod
-    def _mass(kept: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        return np.log10(np.maximum(1 - kept, 1e-12) / np.maximum(1 - lower, 1e-12))
+def packed(x: np.ndarray) -> bytes:
+    """An array's bytes, those of equal rank together, compressed."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return len(x).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
+
+
+def unpacked(data, dtype) -> np.ndarray:
+    data, size = memoryview(data), np.dtype(dtype).itemsize
+    n = int.from_bytes(data[:8], "little")
+    planes = pa.Codec("zstd").decompress(data[8:], n * size, asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).view(dtype).ravel()
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences, in six bytes each where they fit."""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    first, gaps = int(gaps[0]), np.where(np.arange(len(gaps)) == 0, np.uint64(0), gaps)
+    wide = gaps.max() >> np.uint64(48) > 0
+    return first.to_bytes(8, "little") + bytes([8 if wide else 6]) + gaps.view(np.uint8).reshape(-1, 8)[:, : 8 if wide else 6].tobytes()
 
 
-def _score(model):
-    """Sums of broadcast values for each text; keys that are not among them are passed on."""
+def unpacked_keys(data) -> np.ndarray:
+    data = memoryview(data)
+    first, width = int.from_bytes(data[:8], "little"), data[8]
+    short = np.frombuffer(data[9:], np.uint8).reshape(-1, width)
+    gaps = np.zeros((len(short), 8), np.uint8)
+    gaps[:, :width] = short
+    return np.cumsum(gaps.view(np.uint64).ravel(), dtype=np.uint64) + np.uint64(first)
+
+
+def starts_of(ranges: int) -> np.ndarray:
+    """The least key of each range."""
+    return np.array([(i << 64) // ranges for i in range(ranges)], np.uint64)
+
+
+# Chunks
+
+def _chunks(id_type: pa.DataType, full: int):
+    """(ids, held_out, tokens, body): texts of at least `full` tokens, but for a task's last, as codes of their own vocabulary."""
 
     def run(batches):
-        known, values, base = model.value
         hasher = TokenHasher()
+        ids, held, lens, keys, size = [], [], [], [], 0
+
+        def flush():
+            every = np.concatenate(keys)
+            words, codes = np.unique(every, return_inverse=True)
+            body = b"".join(len(x).to_bytes(8, "little") + x for x in (packed(np.concatenate(lens)), packed(words), packed(codes.astype(np.uint32))))
+            own = pa.chunked_array(ids, id_type).combine_chunks()
+            out = pa.concat_arrays(held)
+            ends = pa.array([0, len(own)], pa.int32())
+            return pa.record_batch([pa.ListArray.from_arrays(ends, own), pa.ListArray.from_arrays(ends, out), pa.array([len(every)], pa.int64()), pa.array([body], pa.binary())], ["ids", "held", "tokens", "body"])
+
         for batch in batches:
-            n = batch.num_rows
-            tokens, found, own = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((2, n))
-            rest: list[tuple] = []
-            for parts in _keys(hasher, batch.column("text")):
-                for order, (rows, keys, *_) in enumerate(parts, 1):
-                    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                    hit = known[at] == keys
-                    here, at = rows[hit], at[hit]
-                    own[1] += np.bincount(here, values[at], n)
-                    if order == 1:
-                        tokens += np.bincount(rows, minlength=n)
-                        found += np.bincount(here, minlength=n)
-                        own[0] += np.bincount(here, base[at], n)
-                    rest.append((rows[~hit], keys[~hit]))
-            rows, keys = (np.concatenate(x) for x in zip(*rest, strict=True)) if rest else (np.empty(0, np.int64), np.empty(0, np.uint64))
-            keys = keys[np.argsort(rows, kind="stable")]
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64)))
-            yield pa.record_batch([batch.column("id"), batch.column("held_out"), pa.array(tokens), pa.array(found), pa.array(own[0]), pa.array(own[1]), lists], ["id", "held_out", "n_tokens", "n_known", "base_score", "score", "rest"])
+            for first, stop, tokens, row in hasher.rows(batch.column("text")):
+                n = np.bincount(row - first, minlength=stop - first)
+                seq = np.full(len(tokens) + 2 * len(n), END_KEY, np.uint64)
+                seq[np.arange(len(tokens)) + 2 * (row - first) + 1] = tokens
+                ids.append(batch.column("id").slice(first, stop - first))
+                held.append(batch.column("held_out").slice(first, stop - first))
+                lens.append(n + 2)
+                keys.append(seq)
+                size += len(seq)
+                if size >= full:
+                    yield flush()
+                    ids, held, lens, keys, size = [], [], [], [], 0
+        if lens:
+            yield flush()
 
     return run
 
 
-def _log_mass(kept: str, lower: str) -> Column:
-    return F.log10(F.greatest(1 - F.sum(kept), F.lit(1e-12)) / F.greatest(1 - F.sum(lower), F.lit(1e-12)))
+class Chunk:
+    """A chunk's texts: an end token, the words and an end token each; n-grams are numbered by their codes."""
+
+    def __init__(self, row: dict, answers: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
+        parts, at, body = [], 0, memoryview(row["body"])
+        for dtype in (np.int64, np.uint64, np.uint32):
+            n = int.from_bytes(body[at : at + 8], "little")
+            parts.append(unpacked(body[at + 8 : at + 8 + n], dtype))
+            at += 8 + n
+        self.lens, self.words, seq = parts
+        self.seq = seq.astype(np.int64)
+        self.row = np.repeat(np.arange(len(self.lens)), self.lens)
+        #: Positions of all tokens but each text's first, and whether their text trains.
+        self.at = np.flatnonzero(np.r_[False, self.row[1:] == self.row[:-1]])
+        trains = np.array([x is False for x in row["held"]], bool)
+        self.trains = trains[self.row]
+        codes = self.seq[self.at - 1] * len(self.words) + self.seq[self.at]
+        self.pairs, of = np.unique(codes, return_inverse=True)
+        #: The pair that ends at each position; none at a text's first.
+        self.pair_at = np.full(len(self.seq), -1)
+        self.pair_at[self.at] = of
+        self.first, self.second = self.pairs // len(self.words), self.pairs % len(self.words)
+        self.pair_hash = mix(mix(self.words[self.first]) * np.uint64(0x9FB21C651E98DF25) + self.words[self.second])
+        #: Words' and pairs' keys, in the order of the questions about them.
+        self.short_keys = np.concatenate([self.words & ~LONGER, self.pair_hash | LONGER])
+        if "short" in answers:
+            counts, self.short_owned = self._ordered(self.short_keys, answers["short"])
+            self.word_n, self.pair_n = counts[: len(self.words)], counts[len(self.words) :]
+            self._triples()
+        if "triple" in answers:
+            self.triple_n, self.triple_owned = self._ordered(self.triple_keys, answers["triple"])
+        if "state" in answers:
+            self.state_keys, self.states = self._state_keys()
+            back = np.zeros(len(self.short_keys))
+            back[self.states] = self._ordered(self.state_keys, answers["state"])[0]
+            self.word_back, self.pair_back = back[: len(self.words)], back[len(self.words) :]
+
+    @staticmethod
+    def _ordered(keys: np.ndarray, answer: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Answers, which come in the order of sorted keys, in the order of keys."""
+        order = np.argsort(keys, kind="stable")
+        values, owned = np.zeros(len(keys), answer[0].dtype), np.zeros(len(keys), bool)
+        values[order], owned[order] = answer
+        return values, owned
+
+    def _triples(self) -> None:
+        kept = np.r_[self.pair_n > 0, False]  # the last stands for no pair
+        at = self.at[kept[self.pair_at[self.at]] & kept[self.pair_at[self.at - 1]]]
+        codes = self.pair_at[at - 1] * max(1, len(self.pairs)) + self.pair_at[at]
+        self.triples, of = np.unique(codes, return_inverse=True)
+        self.triple_at = np.full(len(self.seq), -1)
+        self.triple_at[at] = of
+        self.upper, self.lower = self.triples // max(1, len(self.pairs)), self.triples % max(1, len(self.pairs))
+        self.triple_keys = mix(mix(self.pair_hash[self.upper] + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) + self.words[self.second[self.lower]]) | LONGER
+
+    def _state_keys(self) -> tuple[np.ndarray, np.ndarray]:
+        states = np.flatnonzero(np.concatenate([self.word_n, self.pair_n]) > 0)
+        return self.short_keys[states], states
+
+    def short_question(self) -> tuple[np.ndarray, np.ndarray]:
+        train = self.trains[self.at]
+        words = np.bincount(self.seq[self.at][train], minlength=len(self.words))
+        pairs = np.bincount(self.pair_at[self.at][train], minlength=len(self.pairs))
+        return self.short_keys, np.concatenate([words, pairs])
+
+    def triple_question(self) -> tuple[np.ndarray, np.ndarray]:
+        at = self.triple_at[self.trains & (self.triple_at >= 0)]
+        return self.triple_keys, np.bincount(at, minlength=len(self.triples))
+
+    def logs(self, norm: float) -> None:
+        """Probabilities of words, and of pairs and triples by their arcs."""
+        self.one = (self.word_n + 0.5) / norm
+        self.two = (self.pair_n - DISCOUNT) / np.maximum(self.word_n[self.first], 1)
+        self.three = (self.triple_n - DISCOUNT) / np.maximum(self.pair_n[self.upper], 1)
+
+    def state_question(self, norm: float) -> tuple[np.ndarray, np.ndarray]:
+        """Each state's own sums: of its owned arcs, and of the same words in the next shorter context."""
+        self.logs(norm)
+        n = len(self.words)
+        pairs = np.flatnonzero(self.short_owned[n:] & (self.pair_n > 0))
+        triples = np.flatnonzero(self.triple_owned & (self.triple_n > 0))
+        sums = np.zeros((len(self.short_keys), 2))
+        for column, (of_pairs, of_triples) in enumerate(((self.two[pairs], self.three[triples]), (self.one[self.second[pairs]], self.two[self.lower[triples]]))):
+            sums[:n, column] = np.bincount(self.first[pairs], of_pairs, n)
+            sums[n:, column] = np.bincount(self.upper[triples], of_triples, len(self.pairs))
+        keys, states = self._state_keys()
+        return keys, sums[states]
+
+    def scores(self, norm: float) -> list[np.ndarray]:
+        """Per text: tokens, known tokens, base score, score."""
+        self.logs(norm)
+        n, at = len(self.lens), self.at
+        row, word = self.row[at], self.seq[at]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            arcs = [np.log10(self.one), np.where(self.pair_n > 0, np.log10(self.two), 0), np.where(self.triple_n > 0, np.log10(self.three), 0)]
+        base = arcs[0][word]
+        pair, before, triple = self.pair_at[at], self.pair_at[at - 1], self.triple_at[at]
+        # the walk's value at a state of one word: its arc, or its failure arc and the word itself
+        one = np.where(self.pair_n[pair] > 0, arcs[1][pair], self.word_back[self.seq[at - 1]] + base)
+        deep = (before >= 0) & (self.pair_n[before] > 0)
+        value = one + np.where(deep, self.pair_back[before], 0)
+        taken = np.flatnonzero(triple >= 0)
+        taken = taken[self.triple_n[triple[taken]] > 0]
+        value[taken] = arcs[2][triple[taken]]
+        return [np.bincount(row, minlength=n), np.bincount(row, self.word_n[word] > 0, n).astype(np.int64), np.bincount(row, base, n), np.bincount(row, value, n)]
+
+
+# Questions and answers
+
+QUESTION = "range int, chunk long, keys binary, given binary"
+ANSWER = "range int, chunk long, body binary, owned binary, tokens long, words long"
 
 
-def _values(counts: DataFrame, norm: float) -> DataFrame:
-    """key, o (words in the key), c, base (a word's own log10 probability), value."""
-    one = lambda c: (F.col(c) + 0.5) / F.lit(norm)
-    words = counts.filter("o = 1").select("key", "c")
-    first, second = (words.select(F.col("key").alias(k), F.col("c").alias(f"c_{k}")) for k in ("a", "b"))
-    pairs = counts.filter("o = 2").select("key", "a", "b", "c").join(first, "a").join(second, "b")
-    pairs = materialize(pairs.select("key", "a", "c", ((F.col("c") - DISCOUNT) / F.col("c_a")).alias("two"), one("c_b").alias("one")))
-    after_word = materialize(pairs.groupBy("a").agg(_log_mass("two", "one").alias("back")))
-    upper, lower = pairs.select(F.col("key").alias("a"), F.col("c").alias("c_a")), pairs.select(F.col("key").alias("b"), "two")
-    triples = counts.filter("o = 3").select("key", "a", "b", "c").join(upper, "a").join(lower, "b")
-    triples = materialize(triples.select("key", "a", "c", ((F.col("c") - DISCOUNT) / F.col("c_a")).alias("three"), "two"))
-    after_pair = materialize(triples.groupBy("a").agg(_log_mass("three", "two").alias("back")))
-    none, of_key = F.lit(0.0), lambda t: t.select(F.col("a").alias("key"), F.col("back").alias("own"))
-    own = F.coalesce("own", none)
-    w = words.join(of_key(after_word), "key", "left").select("key", F.lit(1).alias("o"), "c", F.log10(one("c")).alias("base"), (F.log10(one("c")) + own).alias("value"))
-    p = pairs.join(after_word, "a").join(of_key(after_pair), "key", "left")
-    p = p.select("key", F.lit(2).alias("o"), "c", none.alias("base"), (F.log10("two") - F.col("back") - F.log10("one") + own).alias("value"))
-    t = triples.join(after_pair, "a").select("key", F.lit(3).alias("o"), "c", none.alias("base"), (F.log10("three") - F.col("back") - F.log10("two")).alias("value"))
-    return materialize(w.unionByName(p).unionByName(t))
+def _asked(chunk: int, keys: np.ndarray, given: np.ndarray, ranges: int) -> Iterator[pa.RecordBatch]:
+    """Rows of QUESTION: the sorted keys, cut by ranges, with what is given for them."""
+    order = np.argsort(keys, kind="stable")
+    keys, given = keys[order], given[order]
+    cuts = np.r_[np.searchsorted(keys, starts_of(ranges)), len(keys)]
+    rows = [(i, packed_keys(keys[a:b]), packed(given[a:b].ravel())) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+    for at in range(0, len(rows), 64):
+        part = rows[at : at + 64]
+        yield pa.record_batch([pa.array([x[0] for x in part], pa.int32()), pa.array([chunk] * len(part), pa.int64()), pa.array([x[1] for x in part], pa.binary()), pa.array([x[2] for x in part], pa.binary())], ["range", "chunk", "keys", "given"])
+
+
+def _runs(batches, key: str) -> Iterator[list[dict]]:
+    """Rows that lie together and agree in a column."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and held[0][key] != row[key]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _counted(batches):
+    """Answers with counts: 0 for n-grams that are not kept. The first chunk that holds a kept one owns it."""
+    for rows in _runs(batches, "range"):
+        keys = [unpacked_keys(r["keys"]) for r in rows]
+        cuts = np.cumsum([0, *map(len, keys)])
+        every, given = np.concatenate(keys), np.concatenate([unpacked(r["given"], np.int64) for r in rows])
+        order = np.argsort(every, kind="stable")
+        ranked = every[order]
+        new = np.r_[True, ranked[1:] != ranked[:-1]]
+        total = np.add.reduceat(given[order], np.flatnonzero(new))
+        long = (ranked[new] & LONGER).astype(bool)
+        total[long & (total < LEAST)] = 0
+        counts, owned = np.empty_like(given), np.zeros(len(given), bool)
+        counts[order] = total[np.cumsum(new) - 1]
+        owned[order[new]] = total > 0
+        sums = int(total[~long].sum()), int((total[~long] > 0).sum())
+        for i, (r, a, b) in enumerate(zip(rows, cuts, cuts[1:], strict=False)):
+            out = [r["range"], r["chunk"], packed(counts[a:b]), packed(np.packbits(owned[a:b])), *(sums if i == 0 else (0, 0))]
+            yield _answer(out)
+
+
+def _answer(out: list) -> pa.RecordBatch:
+    types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+    return pa.record_batch([pa.array([x], t) for x, t in zip(out, types, strict=True)], ["range", "chunk", "body", "owned", "tokens", "words"])
+
+
+def _masses(batches):
+    """Answers with the log10 masses of states' failure arcs."""
+    for rows in _runs(batches, "range"):
+        keys = [unpacked_keys(r["keys"]) for r in rows]
+        cuts = np.cumsum([0, *map(len, keys)])
+        every, given = np.concatenate(keys), np.concatenate([unpacked(r["given"], np.float64) for r in rows]).reshape(-1, 2)
+        order = np.argsort(every, kind="stable")
+        new = np.r_[True, every[order][1:] != every[order][:-1]]
+        kept, lower = np.add.reduceat(given[order], np.flatnonzero(new)).T
+        back = np.log10(np.maximum(1 - kept, 1e-12) / np.maximum(1 - lower, 1e-12))
+        values = np.empty(len(every))
+        values[order] = back[np.cumsum(new) - 1]
+        for r, a, b in zip(rows, cuts, cuts[1:], strict=False):
+            yield _answer([r["range"], r["chunk"], packed(values[a:b]), packed(np.zeros(0, np.uint8)), 0, 0])
+
+
+def _met(rows: list[dict]) -> Chunk:
+    """A chunk from its own row and its answers, which come in the order of ranges."""
+    answers = {}
+    for kind, dtype in (("short", np.int64), ("triple", np.int64), ("state", np.float64)):
+        own = [r for r in rows if r["kind"] == kind]
+        if own or any(r["kind"] == f"asked {kind}" for r in rows):
+            bodies = [unpacked(r["body"], dtype) for r in own]
+            owned = [np.unpackbits(unpacked(r["owned"], np.uint8), count=len(b)).astype(bool) if kind != "state" else np.zeros(len(b), bool) for r, b in zip(own, bodies, strict=True)]
+            answers[kind] = (np.concatenate([np.empty(0, dtype), *bodies]), np.concatenate([np.empty(0, bool), *owned]))
+    return Chunk(next(r for r in rows if r["kind"] == "a chunk"), answers)
+
+
+def _answered(chunks: DataFrame, answers: dict[str, DataFrame], parts: int) -> DataFrame:
+    """Chunks and all their answers, those of a chunk together."""
+    none = lambda c: F.lit(None).cast(chunks.schema[c].dataType).alias(c)
+    every = chunks.select("chunk", F.lit("a chunk").alias("kind"), F.lit(-1).alias("range"), "body", F.lit(None).cast("binary").alias("owned"), "ids", "held")
+    for kind, answer in answers.items():
+        # that a question was asked is said even where there was no key to ask for
+        said = chunks.select("chunk", F.lit(f"asked {kind}").alias("kind"), F.lit(-1).alias("range"), F.lit(None).cast("binary").alias("body"), F.lit(None).cast("binary").alias("owned"), none("ids"), none("held"))
+        every = every.unionByName(said).unionByName(answer.select("chunk", F.lit(kind).alias("kind"), "range", "body", "owned", none("ids"), none("held")))
+    return every.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "range")
+
+
+def _per_chunk(question, ranges: int):
+    def run(batches):
+        for rows in _runs(batches, "chunk"):
+            yield from _asked(rows[0]["chunk"], *question(_met(rows)), ranges)
+
+    return run
+
+
+def _scored(norm: float, id_type: pa.DataType):
+    def run(batches):
+        for rows in _runs(batches, "chunk"):
+            own = next(r for r in rows if r["kind"] == "a chunk")
+            n_tokens, n_known, base, score = _met(rows).scores(norm)
+            yield pa.record_batch([pa.array(own["ids"], id_type), pa.array(own["held"], pa.bool_()), pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(score)], ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    return run
 
 
 def lm_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of df: id, held_out, n_tokens, n_known, train_tokens, base_score, score; learns from rows where held_out is false."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
     spark = df.sparkSession
     small_batches(spark)
+    tidy(spark)
     rows = df.select(F.col(id_col).alias("id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    texts = rows.filter(~F.col("held_out")).select("text")
-    counts = texts.mapInArrow(_count, "key long, a long, b long, o int, c long").groupBy("o", "key").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.sum("c").alias("c"))
-    counts = materialize(counts.filter((F.col("o") == 1) | (F.col("c") >= LEAST)))
-    tokens, distinct = counts.filter("o = 1").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    norm = tokens + 0.5 * (distinct + 1)
-    values = _values(counts, norm)
-    common = F.col("c") >= F.when(F.col("o") == 1, tokens * WORD_SHARE).otherwise(tokens * GRAM_SHARE)
-    got = values.filter(common).select("key", "value", "base").toArrow()  # at most 1 / WORD_SHARE + 2 / GRAM_SHARE rows
-    keys = got.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    # a last entry that no key reaches, so that an empty table can be searched
-    table = [np.append(x[order], x.dtype.type(0)) for x in (got.column("value").to_numpy(), got.column("base").to_numpy())]
-    model = spark.sparkContext.broadcast((np.append(keys[order], np.uint64(2**64 - 1)), *table))
-    shape = T.StructType().add("id", df.schema[id_col].dataType).add("held_out", "boolean").add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double")
-    local = rows.mapInArrow(_score(model), shape.add("rest", T.ArrayType(T.LongType())))
-    local = materialize(local.withColumn("row", F.monotonically_increasing_id()))
-    joined = local.select("row", F.explode("rest").alias("key")).join(values.filter(~common).select("key", "o", "base", "value"), "key")
-    joined = joined.groupBy("row").agg(F.sum("base").alias("b"), F.sum("value").alias("v"), F.sum(F.when(F.col("o") == 1, 1).otherwise(0)).alias("k"))
-    out = local.drop("rest").join(joined, "row", "left")
-    out = out.withColumn("n_known", F.col("n_known") + F.coalesce("k", F.lit(0)))
-    # words that no training text has
-    new = (F.col("n_tokens") - F.col("n_known")) * F.log10(F.lit(0.5 / norm))
-    base, score = (F.col(c) + F.coalesce(x, F.lit(0.0)) + new for c, x in (("base_score", "b"), ("score", "v")))
-    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
+    kind = df.schema[id_col].dataType
+    id_type = to_arrow_type(kind)
+    shape = T.StructType().add("ids", T.ArrayType(kind)).add("held", T.ArrayType(T.BooleanType())).add("tokens", "long").add("body", "binary")
+    chunks = materialize(rows.mapInArrow(_chunks(id_type, CHUNK_TOKENS), shape).withColumn("chunk", F.monotonically_increasing_id()))
+    size, n = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
+    ranges, parts = max(1, -(-size // RANGE_TOKENS)), max(1, n)
+
+    def ask(question, answers: dict[str, DataFrame], answer) -> DataFrame:
+        asked = _answered(chunks, answers, parts) if answers else chunks.select("chunk", F.lit("a chunk").alias("kind"), "body", "held")
+        asked = asked.mapInArrow(_per_chunk(question, ranges), QUESTION)
+        return materialize(asked.repartition(ranges, "range").sortWithinPartitions("range", "chunk").mapInArrow(answer, ANSWER))
+
+    short = ask(Chunk.short_question, {}, _counted)
+    tokens, words = short.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    norm = tokens + 0.5 * (words + 1)
+    answers = {"short": short}
+    answers["triple"] = ask(Chunk.triple_question, answers, _counted)
+    answers["state"] = ask(lambda chunk: chunk.state_question(norm), answers, _masses)
+    shape = T.StructType().add("id", kind).add("held_out", "boolean").add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double")
+    out = _answered(chunks, answers, parts).mapInArrow(_scored(norm, id_type), shape)
+    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

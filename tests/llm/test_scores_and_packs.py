@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabmend.llm.labelled import remainder
-from tabmend.llm.ngram_lm import Automaton, END, lm_scores, words_of
+from tabmend.llm.ngram_lm import END, lm_scores, packed, packed_keys, unpacked, unpacked_keys, words_of
 from tabmend.llm.packing import cutting_stock, pack
 from tabmend.llm.queries import encoder
 from tabmend.llm.shards import EXTRA, shard_by_sampled_splitters
@@ -40,34 +40,8 @@ def test_contexts_help_on_held_out_texts(spark, make_docs):
     assert held and all(r["score"] > 0.6 * r["base_score"] for r in held)  # logarithms are negative
 
 
-def test_automaton_states_are_distributions():
-    words, counts = [END, b"a", b"b", b"c"], np.array([40, 50, 30, 20])
-    m = 4
-    pairs = np.array([0 * m + 1, 1 * m + 2, 1 * m + 1, 2 * m + 0])
-    pairs.sort()
-    pair_counts = np.array([20, 10, 15, 12])
-    triples = np.array([0 * m + 2, 1 * m + 1])  # (end a) b, and (a a) a
-    auto = Automaton(words, counts, 200, 60, pairs, pair_counts, triples, np.array([6, 5]))
-    arcs = dict(zip(auto.codes.tolist(), auto.logs.tolist(), strict=True))
-    known = 10.0**auto.unigram
-
-    def probability(state, w):
-        back = 0.0
-        while state:
-            if state * m + w in arcs:
-                return 10 ** (back + arcs[state * m + w])
-            back += auto.backoff[state]
-            state = auto.fail[state]
-        return 10**back * known[w]
-
-    rest = 1 - known.sum()  # words below the automaton
-    for state in range(len(auto.backoff)):
-        total = sum(probability(state, w) for w in range(m)) + 10 ** auto.leave[state] * rest
-        assert total == pytest.approx(1, abs=1e-9)
-
-
-def backoff_scores(rows, trains):
-    """Scores of a backoff model whose arcs are all n-grams seen twice or more."""
+def backoff_model(rows, trains):
+    """The probability of a word after two others where all n-grams seen twice or more are arcs, and the words of the training texts."""
     d, grams = 0.6, [Counter() for _ in range(3)]
     for i, t in rows:
         if trains(i):
@@ -94,6 +68,11 @@ def backoff_scores(rows, trains):
             return (three[u, v, w] - d) / two[u, v]
         return back((u, v)) * (p2(v, w) if (v, w) in two else back(v) * uni(w))
 
+    return p, one
+
+
+def backoff_scores(rows, trains):
+    p, _ = backoff_model(rows, trains)
     out = {}
     for i, t in rows:
         ids = [None, END, *words_of(t), END]
@@ -101,18 +80,36 @@ def backoff_scores(rows, trains):
     return out
 
 
-@pytest.mark.parametrize("share", [2.0**-21, 2.0**-5, 2.0])
-def test_scores_hold_every_gram_whatever_its_share(spark, make_docs, fold, monkeypatch, share):
-    # shares of a large corpus: what falls below them is joined, not lost
-    for name in ("WORD_SHARE", "GRAM_SHARE"):
-        monkeypatch.setattr(f"tabmend.llm.ngram_lm.{name}", share)
+@pytest.mark.parametrize(("chunk", "span"), [(1_000_000, 3_000_000), (150, 400), (1, 50)])
+def test_scores_equal_brute_force_however_the_corpus_is_cut(spark, make_docs, fold, monkeypatch, chunk, span):
+    monkeypatch.setattr("tabmend.llm.ngram_lm.CHUNK_TOKENS", chunk)
+    monkeypatch.setattr("tabmend.llm.ngram_lm.RANGE_TOKENS", span)
+    small = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice(WORDS[: 3 + i % 17]) + rng.choice(["", "", "", str(i)]) for _ in range(rng.randrange(50)))) for i in range(120)] + [(500, None), (501, "Alpha ALPHA unseen")]
     out = {r["doc_id"]: r for r in lm_scores(make_docs(rows), remainder("doc_id", 5) == 1).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", small)
+    assert len(out) == len(rows)
     for i, score in backoff_scores(rows, lambda i: fold(i, 5) != 1).items():
         assert out[i]["score"] == pytest.approx(score, abs=1e-9)
 
 
+def test_states_are_distributions():
+    rng = random.Random(3)
+    p, words = backoff_model([(i, " ".join(rng.choice(WORDS[:6]) for _ in range(30))) for i in range(20)], lambda i: True)
+    for u, v in [(END, b"alpha"), (b"alpha", b"beta"), (b"beta", b"gamma"), (b"unseen", b"alpha"), (b"unseen", b"other"), (None, END)]:
+        assert sum(p(u, v, w) for w in words) + p(u, v, b"never") == pytest.approx(1, abs=1e-9)
+
+
+def test_packed_arrays_come_back():
+    rng = np.random.default_rng(5)
+    for keys in (np.unique(rng.integers(0, 2**63, 5000, np.uint64)), np.array([2**64 - 1], np.uint64), np.array([3, 2**63], np.uint64)):
+        assert (unpacked_keys(packed_keys(keys)) == keys).all()
+    for x in (np.array([0, 1, 2**40]), np.empty(0), rng.random(100)):
+        assert (unpacked(packed(x), x.dtype) == x).all()
+
+
 def test_lm_odd_rows(spark, make_docs, odd_rows):
     out = lm_scores(make_docs(odd_rows), remainder("doc_id", 5) == 1).collect()
     assert len(out) == len(odd_rows) and all(math.isfinite(r["score"]) for r in out)
