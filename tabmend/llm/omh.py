@@ -1,23 +1,26 @@
 """Order MinHash fingerprints with DataFrame functions only.
 
-A text's words (split at white space, as written) give its k-word pieces, each
-numbered by how often it came before. Every numbered piece gets a hash whose
-leading bits name one of BINS bins; a bin keeps the TAKEN pieces of the least
-hashes, puts them back in the order in which they stand in the text, and hashes
-that tuple. Where `dense` is set, a bin with fewer pieces takes the least of the bins
-that follow, cyclically, so that bins of short texts hold an order too. Texts agree on a bin where its pieces and their order agree, so the
-share of equal bins falls with the edit distance. Bins that are empty in both
-texts don't count.
+A text's words (split at white space, as written) give its pieces of K words, each
+numbered by how often it came before. Texts of at most K words, and those whose
+words are long on average (scripts without spaces, encoded data), give pieces of
+CHARS characters instead. Every numbered piece has a place on a circle of hashes.
+From each of BINS even points of the circle the next TAKEN pieces are selected, put
+back in the order in which they stand in the text, and hashed as a tuple: an entry
+of the fingerprint. Texts agree on an entry where its pieces and their order agree, so the share of
+equal entries falls with the edit distance. A text without words has empty entries
+(0); entries that are empty in both texts don't count.
 
 Every row also meets the text of the next id: rows are dealt into ranges of ids,
 each of which is sorted on its own, and a copy of each range's first row closes
-the range before. Range boundaries are quantiles of the ids, PARTS at most.
+the range before. Boundaries come from a sample of some SAMPLED ids for each
+range; there is a range for ROWS rows, PARTS at most.
 
-Results in odd cases: a null text is empty; texts without words have empty bins
-only and equal each other fully; fewer than k words are one piece; equal ids are
+Results in odd cases: a null text is empty; texts without words equal each other
+fully; a text of one piece has it twice in every entry; equal ids are
 ordered by text; null ids come first; repeated rows get equal fingerprints; the
 only row of a table is its own next; an empty table gives an empty table; other
-columns are not read. Ids are numbers.
+columns are not read. Ids may have any type that can be ordered. A piece's place in
+its text has POSITION bits, which is more than an array in memory can hold.
 """
 
 from __future__ import annotations
@@ -25,58 +28,71 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words in a piece, bins, pieces of a bin, bits that hold a position.
-K, BINS, TAKEN, POSITION = 3, 64, 2, 24
-BIN_SHIFT = 64 - 6
-PARTS = 4096
+#: Words in a piece, characters in a piece, characters for each word from which texts count as unspaced.
+K, CHARS, UNSPACED = 3, 5, 32
+#: Points of the circle, pieces taken at each, bits that hold a position; a point is given by a hash's leading bits.
+BINS, TAKEN, POSITION, SHIFT = 64, 2, 28, 64 - 6
+PARTS, ROWS, SAMPLED = 4096, 20_000, 64
+SPACE = r"[\x20\x09-\x0D]+"
 
 
 def _packed(h: Column, at: Column) -> Column:
-    """The leading 40 bits of a hash above a position."""
-    return h.bitwiseAND(F.lit(-(1 << POSITION))).bitwiseOR(at.cast("long"))
+    """A hash's leading bits above a position."""
+    return _hash(h).bitwiseOR(at.cast("long"))
 
 
-def with_bins(df: DataFrame, text: str, out: str, dense: bool = False) -> DataFrame:
-    """df with the array `out` of BINS tuple hashes (0: an empty bin) of the column `text`; dense: bins take what they lack from the next."""
-    words = F.split(F.trim(F.regexp_replace(F.col(text), r"[\x20\x09-\x0D]+", " ")), " ")
-    df = df.withColumn("_w", F.when(F.trim(F.regexp_replace(F.col(text), r"[\x20\x09-\x0D]+", " ")) == "", F.array().cast("array<string>")).otherwise(words))
+def _hash(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(-(1 << POSITION)))
+
+
+def _place(x: Column) -> Column:
+    return x.bitwiseAND(F.lit((1 << POSITION) - 1))
+
+
+def _numbered(x: Column, times: Column) -> Column:
+    """A piece that came before gets a hash of its own; the first keeps its hash."""
+    return F.when(times == 0, x).otherwise(_packed(F.xxhash64(_hash(x), times.cast("long")), _place(x)))
+
+
+def with_bins(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with the array `out` of BINS tuple hashes of the column `text`."""
+    none = F.array().cast("array<long>")
+    df = df.withColumn("_w", F.array_remove(F.split(F.col(text), SPACE), ""))
     n = F.size("_w")
-    last = F.when(n >= K, n - K + 1).otherwise(F.lit(1))
-    piece = F.transform(F.sequence(F.lit(1), last), lambda i: _packed(F.xxhash64(*(F.get(F.col("_w"), i + (j - 1)) for j in range(K))), i))
-    df = df.withColumn("_s", F.when(n > 0, F.sort_array(piece)).otherwise(F.array().cast("array<long>")))
+    fine = (n <= K) | (F.length(text) > UNSPACED * n)
+    df = df.withColumn("_t", F.when(fine, F.split(F.col(text), "")).otherwise(F.col("_w"))).withColumn("_fine", fine)
+
+    def pieces(width: int) -> Column:
+        last = F.greatest(F.size("_t") - (width - 1), F.lit(1))
+        return F.transform(F.sequence(F.lit(1), last), lambda i: _packed(F.xxhash64(*(F.get(F.col("_t"), i + (j - 1)) for j in range(width))), i))
+
+    df = df.withColumn("_s", F.when(n == 0, none).when(F.col("_fine"), F.sort_array(pieces(CHARS))).otherwise(F.sort_array(pieces(K))))
     # a run of equal hashes is a repeated piece; its positions are in order, so they number themselves
-    top = F.lit(-(1 << POSITION))
-    firsts = F.filter("_s", lambda x, i: (i == 0) | (x.bitwiseAND(top) != F.get(F.col("_s"), i - 1).bitwiseAND(top)))
-    df = df.withColumn("_f", firsts)
-    plain = F.transform("_s", lambda x: _numbered(x, F.lit(0)))
-    starts = F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: (i == 0) | (F.get(F.col("_s"), i).bitwiseAND(top) != F.get(F.col("_s"), i - 1).bitwiseAND(top)))
-    df = df.withColumn("_r", F.when(F.size("_f") == F.size("_s"), F.lit(None)).otherwise(starts))
+    new = lambda x, i: (i == 0) | (_hash(x) != _hash(F.get(F.col("_s"), i - 1)))
+    df = df.withColumn("_again", F.size(F.filter("_s", new)) < F.size("_s"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: new(F.get(F.col("_s"), i), i))
+    df = df.withColumn("_r", F.when(F.col("_again"), starts))
     runs = F.flatten(F.transform("_r", lambda start, r: F.transform(F.sequence(start, F.coalesce(F.get(F.col("_r"), r + 1), F.size("_s")) - 1), lambda i: _numbered(F.get(F.col("_s"), i), i - start))))
-    df = df.withColumn("_p", F.sort_array(F.when(F.col("_r").isNull(), plain).otherwise(runs)))
-    # sorted by hash, a bin's pieces lie together, least first
-    bin_of = lambda x: F.shiftrightunsigned(x, BIN_SHIFT).cast("int")
-    least = F.filter("_p", lambda x, i: (i < TAKEN) | (bin_of(x) != bin_of(F.get(F.col("_p"), i - TAKEN))))
-    df = df.withColumn("_l", least)
-    place = lambda x: x.bitwiseAND(F.lit((1 << POSITION) - 1))
-    whole = lambda at: F.array_join(F.slice(F.col("_w"), at.cast("int"), K), " ")
-
-    def tuple_hash(b: Column) -> Column:
-        if dense:
-            # the sign bit comes first in the order of hashes
-            before = F.size(F.filter("_l", lambda x: bin_of(x).bitwiseXOR(F.lit(BINS // 2)) < b.bitwiseXOR(F.lit(BINS // 2))))
-            least = F.slice(F.concat("_l", "_l"), before + 1, F.least(F.lit(TAKEN), F.size("_l")))
-        else:
-            least = F.filter("_l", lambda x: bin_of(x) == b)
-        own = F.sort_array(F.transform(least, place))
-        return F.when(F.size(own) > 0, F.xxhash64(F.transform(own, whole)).bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.lit(0).cast("long"))
-
-    bins = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), tuple_hash)
-    return df.withColumn(out, bins).drop("_w", "_s", "_f", "_r", "_p", "_l")
+    df = df.withColumn("_p", F.when(F.col("_again"), F.sort_array(runs)).otherwise(F.col("_s")))
+    # between two points only the first TAKEN pieces can be selected
+    bin_of = lambda x: F.shiftright(x, SHIFT)
+    df = df.withColumn("_l", F.filter("_p", lambda x, i: (i < TAKEN) | (bin_of(x) != bin_of(F.get(F.col("_p"), i - TAKEN)))))
+    # from the circle's end to its start: a point, which has position 0, takes the two pieces seen last
+    points = F.array(*(F.lit((b - BINS // 2) << SHIFT).cast("long") for b in range(BINS)))
+    around = F.reverse(F.sort_array(F.concat("_l", points)))
+    start = F.struct(F.get("_l", F.lit(0)).alias("a"), F.coalesce(F.get("_l", F.lit(1)), F.get("_l", F.lit(0))).alias("b"), none.alias("out"))
 
+    def entry(a: Column, b: Column) -> Column:
+        first, then = F.when(_place(a) <= _place(b), a).otherwise(b), F.when(_place(a) <= _place(b), b).otherwise(a)
+        return F.xxhash64(_hash(first), _hash(then)).bitwiseAND(F.lit(0xFFFFFFFF))
 
-def _numbered(x: Column, times: Column) -> Column:
-    h = F.xxhash64(x.bitwiseAND(F.lit(-(1 << POSITION))), times.cast("long"))
-    return _packed(h, x.bitwiseAND(F.lit((1 << POSITION) - 1)))
+    def step(acc: Column, x: Column) -> Column:
+        seen = F.struct(x.alias("a"), acc["a"].alias("b"), acc["out"].alias("out"))
+        return F.when(_place(x) > 0, seen).otherwise(F.struct(acc["a"].alias("a"), acc["b"].alias("b"), F.concat(acc["out"], F.array(entry(acc["a"], acc["b"]))).alias("out")))
+
+    bins = F.aggregate(around, start, step, lambda acc: acc["out"])
+    df = df.withColumn(out, F.when(F.size("_l") > 0, bins).otherwise(F.array_repeat(F.lit(0).cast("long"), BINS)))
+    return df.drop("_w", "_t", "_fine", "_s", "_again", "_r", "_p", "_l")
 
 
 def fingerprint(bins: Column) -> Column:
@@ -90,25 +106,35 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(counted) == 0, F.lit(1.0)).otherwise(equal / F.size(counted))
 
 
-def with_next(df: DataFrame, parts: int) -> DataFrame:
+def _boundaries(ids: DataFrame) -> list:
+    """Quantiles of the ids, from about SAMPLED for each range."""
+    n = ids.count()
+    parts = min(PARTS, max(int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS)))
+    each = max(1, n // (SAMPLED * parts))
+    drawn = ids.filter("id is not null").filter(F.pmod(F.xxhash64("id"), F.lit(each)) == 0).distinct()
+    drawn = sorted(r["id"] for r in drawn.collect())  # some SAMPLED * PARTS at most
+    return [drawn[i * len(drawn) // parts] for i in range(1, parts)] if len(drawn) >= parts else drawn
+
+
+def with_next(df: DataFrame) -> DataFrame:
     """Rows (id, text, bins) with next_text and next_bins of the row that follows by id and text; the first follows the last."""
-    ends = df.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else None
-    ends = sorted(set(ends or []))
+    ends = sorted(set(_boundaries(df.select("id"))))
     # the range of an id is the number of boundaries at or below it; null ids lie in range 0
     part = _rank(F.col("id"), ends, 0, len(ends))
     dealt = df.withColumn("part", F.coalesce(part, F.lit(0)))
     least = dealt.groupBy("part").agg(F.min(F.struct(F.col("id").isNotNull().alias("s"), "id")).alias("m"))
-    used = sorted(least.select("part", "m.s", "m.id").collect())  # one row for each range
-    before = {r["part"]: used[i - 1]["part"] for i, r in enumerate(used)}
-    firsts = None
-    for_ids = [r["id"] for r in used if r["id"] is not None]
-    pick = F.col("id").isin(for_ids) if not any(r["id"] is None for r in used) else F.col("id").isin(for_ids) | F.col("id").isNull()
+    used = sorted(least.select("part", "m.s", "m.id").collect(), key=lambda r: r["part"])  # one row for each range
+    dealt = dealt.withColumn("copy", F.lit(False))
     if used:
+        before = {r["part"]: used[i - 1]["part"] for i, r in enumerate(used)}
+        pick = F.col("id").isin([r["id"] for r in used if r["id"] is not None])
+        if any(r["id"] is None for r in used):
+            pick = F.col("id").isNull() | F.coalesce(pick, F.lit(False))
         to = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))
         firsts = dealt.filter(pick).withColumn("part", F.try_element_at(to, F.col("part")))
-    dealt = dealt.withColumn("copy", F.lit(False))
-    if firsts is not None:
         dealt = dealt.unionByName(firsts.withColumn("copy", F.lit(True)))
+    # a task for each range, not for what ranges hash to
+    dealt = dealt.repartitionById(len(ends) + 1, "part")
     order = Window.partitionBy("part").orderBy("copy", F.asc_nulls_first("id"), "text")
     out = dealt.withColumns({"next_text": F.lead("text").over(order), "next_bins": F.lead("bins").over(order)})
     return out.filter(~F.col("copy")).drop("copy", "part")
@@ -122,17 +148,15 @@ def _rank(value: Column, ends: list, low: int, high: int) -> Column:
     return F.when(value >= F.lit(ends[middle]), _rank(value, ends, middle + 1, high)).otherwise(_rank(value, ends, low, middle))
 
 
-def order_minhash(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dense: bool = False) -> DataFrame:
+def order_minhash(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of df: id, n_chars, fingerprint, and those of the text whose last quarter the next text's start replaces."""
-    spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    parts = max(1, min(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    both = with_next(with_bins(rows, "text", "bins", dense), parts)
+    both = with_next(with_bins(rows, "text", "bins"))
     chars = F.length("text")
     quarter = F.floor(chars / 4).cast("int")
     both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), chars - quarter), F.substring("next_text", F.lit(1), quarter)))
     both = both.withColumn("n_chars", chars.cast("long")).drop("text", "next_text")
-    both = with_bins(both, "edited", "edited_bins", dense)
+    both = with_bins(both, "edited", "edited_bins")
     return both.select(
         F.col("id").alias(id_col),
         "n_chars",

@@ -4,15 +4,11 @@ import re
 
 import xxhash
 
-from tabmend.llm.omh import BINS, K, POSITION, TAKEN
+from tabmend.llm.omh import BINS, CHARS, K, POSITION, TAKEN, UNSPACED
 
 M = 2**64 - 1
 
 
-def _signed(x):
-    return x - 2**64 if x >> 63 else x
-
-
 def _of(parts, seed=42):
     for p in parts:
         data = p.encode() if isinstance(p, str) else (p & M).to_bytes(8, "little")
@@ -21,20 +17,29 @@ def _of(parts, seed=42):
 
 
 def bins(text):
-    w = re.sub(r"[\x20\x09-\x0D]+", " ", text or "").strip(" ").split(" ") if (text or "").strip(" \t\n\r\x0b\x0c") else []
-    seen, found = {}, {}
+    text = text or ""
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", text) if x]
+    if not w:
+        return [0] * BINS
+    fine = len(w) <= K or len(text) > UNSPACED * len(w)
+    parts, width = (list(text), CHARS) if fine else (w, K)
+    seen, ring = {}, []
     low = (1 << POSITION) - 1
-    for i in range(max(len(w) - K + 1, 1) if w else 0):
-        h = _of(w[i : i + K]) & ~low & M
+    for i in range(max(len(parts) - width + 1, 1)):
+        h = _of(parts[i : i + width]) & ~low & M
         times = seen.get(h, 0)
         seen[h] = times + 1
-        p = (_of([h, times]) & ~low & M) | (i + 1)
-        found.setdefault(p >> 58, []).append((_signed(p), i + 1))
-    out = [0] * BINS
-    for b, x in found.items():
-        at = sorted(i for _, i in sorted(x)[:TAKEN])
-        out[b] = _of([" ".join(w[i - 1 : i - 1 + K]) for i in at]) & 0xFFFFFFFF
-    return out
+        ring.append((_of([h, times]) & ~low & M if times else h, i + 1))
+    # the circle starts at the least signed number
+    turned = lambda h: (h + 2**63) & M
+    ring = sorted((turned(h), i, h) for h, i in ring)
+    out = []
+    for b in range(BINS):
+        ahead = [x for x in ring if x[0] >= b << 58]
+        took = (ahead + ring + ring)[:TAKEN]
+        took.sort(key=lambda x: x[1])
+        out.append(_of([h for _, _, h in took]) & 0xFFFFFFFF)
+    return out[::-1]
 
 
 def fingerprint(text):
