@@ -29,8 +29,8 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let a query's shuffle files go when it ends; later ones read the tables that it wrote."""
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    """Let go of shuffle files that no plan needs any more: Spark removes them once the driver's heap is collected, which may take half an hour by itself."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

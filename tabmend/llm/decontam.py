@@ -136,12 +136,13 @@ def _verified(windows: DataFrame, items: DataFrame, threshold: float, id_col: st
     blocks = F.sequence(F.lit(0), F.lit(BLOCKS - 1))
     probes = at.withColumn("b", F.explode(blocks)).withColumn("v", _block(F.col("fp"), F.col("b")))
     masks = F.array(*(F.lit(m) for m in near_masks(BITS // BLOCKS, RADIUS // BLOCKS)))
-    index = items.select("key", F.col("fp").alias("item_fp"), "sh", "items", "null_item", F.explode(blocks).alias("b"))
+    index = items.select("key", F.col("fp").alias("item_fp"), F.explode(blocks).alias("b"))
     index = index.withColumn("v", _block(F.col("item_fp"), F.col("b"))).withColumn("m", F.explode(masks)).withColumn("v", F.col("v").bitwiseXOR(F.col("m"))).drop("m")
     apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
     # a pair may meet in several blocks, of which the first counts
     first = F.array_min(F.filter(blocks, lambda b: F.bit_count(_block(apart, b)) <= RADIUS // BLOCKS))
     met = probes.join(index, ["key", "b", "v"]).withColumn("distance", F.bit_count(apart)).filter((F.col("distance") <= RADIUS) & (F.col("b") == first))
+    met = met.join(items.select("key", "sh", "items", "null_item"), "key")
     item_set = F.array_distinct("sh")
     total = F.aggregate(item_set, F.lit(0.0), lambda acc, x: acc + x["w"])
     held = F.aggregate(F.filter(item_set, lambda x: F.array_contains("hashes", x["h"])), F.lit(0.0), lambda acc, x: acc + x["w"])

@@ -351,7 +351,6 @@ def lm_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
 
     spark = df.sparkSession
     small_batches(spark)
-    tidy(spark)
     rows = df.select(F.col(id_col).alias("id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
     kind = df.schema[id_col].dataType
     id_type = to_arrow_type(kind)
@@ -363,7 +362,9 @@ def lm_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     def ask(question, answers: dict[str, DataFrame], answer) -> DataFrame:
         asked = _answered(chunks, answers, parts) if answers else chunks.select("chunk", F.lit("a chunk").alias("kind"), "body", "held")
         asked = asked.mapInArrow(_per_chunk(question, ranges), QUESTION)
-        return materialize(asked.repartition(ranges, "range").sortWithinPartitions("range", "chunk").mapInArrow(answer, ANSWER))
+        got = materialize(asked.repartition(ranges, "range").sortWithinPartitions("range", "chunk").mapInArrow(answer, ANSWER))
+        tidy(spark)
+        return got
 
     short = ask(Chunk.short_question, {}, _counted)
     tokens, words = short.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
