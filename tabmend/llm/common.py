@@ -30,6 +30,7 @@ def small_batches(spark: SparkSession) -> None:
 
 def tidy(spark: SparkSession) -> None:
     """Let go of shuffle files that no plan needs any more: Spark removes them once the driver's heap is collected, which may take half an hour by itself."""
+    spark.range(1).write.format("noop").mode("overwrite").save()  # the last write's plan is held until another comes
     spark.sparkContext._jvm.System.gc()
 
 
