@@ -13,9 +13,9 @@ chunks of some CHUNK_TOKENS tokens, coded by the chunk's own vocabulary and writ
 once. A chunk asks for what its walk needs: it sends its distinct keys, sorted,
 cut by ranges of the hash space and packed, and gets one answer for each key in the
 same order. There are three questions: counts of its words and pairs; counts of
-triples whose pairs were both kept (no other can be an arc); and the masses of its
-states, for which the chunk that comes first among a kept n-gram's holders adds
-that n-gram to its state's sums. A key reaches its range once for each chunk at
+triples whose pairs were both kept (no other can be an arc); and sums over the arcs
+of its states, from which the masses follow, where the chunk that comes first among
+a kept n-gram's holders adds that n-gram. A key reaches its range once for each chunk at
 most, however often it occurs, so no key is hot.
 
 Keys are 63-bit hashes and a bit that tells words from longer n-grams.
@@ -157,16 +157,13 @@ class Chunk:
         if "triple" in answers:
             self.triple_n, self.triple_owned = self._ordered(self.triple_keys, answers["triple"])
         if "state" in answers:
-            self.state_keys, self.states = self._state_keys()
-            back = np.zeros(len(self.short_keys))
-            back[self.states] = self._ordered(self.state_keys, answers["state"])[0]
-            self.word_back, self.pair_back = back[: len(self.words)], back[len(self.words) :]
+            self._backs(answers["state"])
 
     @staticmethod
     def _ordered(keys: np.ndarray, answer: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Answers, which come in the order of sorted keys, in the order of keys."""
         order = np.argsort(keys, kind="stable")
-        values, owned = np.zeros(len(keys), answer[0].dtype), np.zeros(len(keys), bool)
+        values, owned = np.zeros(answer[0].shape, answer[0].dtype), np.zeros(len(keys), bool)
         values[order], owned[order] = answer
         return values, owned
 
@@ -200,22 +197,37 @@ class Chunk:
         self.two = (self.pair_n - DISCOUNT) / np.maximum(self.word_n[self.first], 1)
         self.three = (self.triple_n - DISCOUNT) / np.maximum(self.pair_n[self.upper], 1)
 
-    def state_question(self, norm: float) -> tuple[np.ndarray, np.ndarray]:
-        """Each state's own sums: of its owned arcs, and of the same words in the next shorter context."""
-        self.logs(norm)
+    def state_question(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each state's owned arcs: how many, their counts' sum, and the sum of the counts that the same words have in the next shorter context."""
         n = len(self.words)
         pairs = np.flatnonzero(self.short_owned[n:] & (self.pair_n > 0))
         triples = np.flatnonzero(self.triple_owned & (self.triple_n > 0))
-        sums = np.zeros((len(self.short_keys), 2))
-        for column, (of_pairs, of_triples) in enumerate(((self.two[pairs], self.three[triples]), (self.one[self.second[pairs]], self.two[self.lower[triples]]))):
-            sums[:n, column] = np.bincount(self.first[pairs], of_pairs, n)
-            sums[n:, column] = np.bincount(self.upper[triples], of_triples, len(self.pairs))
+        sums = np.zeros((len(self.short_keys), 3), np.int64)
+        np.add.at(sums, self.first[pairs], np.stack([np.ones_like(pairs), self.pair_n[pairs], self.word_n[self.second[pairs]]], 1))
+        np.add.at(sums, n + self.upper[triples], np.stack([np.ones_like(triples), self.triple_n[triples], self.pair_n[self.lower[triples]]], 1))
         keys, states = self._state_keys()
         return keys, sums[states]
 
+    def _backs(self, answer: tuple[np.ndarray, np.ndarray]) -> None:
+        keys, states = self._state_keys()
+        sums = np.zeros((len(self.short_keys), 3))
+        sums[states] = self._ordered(keys, answer)[0]
+        self.sums = sums
+
+    def backs(self, norm: float) -> tuple[np.ndarray, np.ndarray]:
+        """log10 masses of words' and pairs' failure arcs."""
+        n = len(self.words)
+        out = []
+        own = (np.maximum(self.word_n, 1), np.maximum(self.pair_n, 1))
+        for sums, c, (take, each) in zip((self.sums[:n], self.sums[n:]), own, ((-0.5, np.full(n, norm)), (DISCOUNT, np.maximum(self.word_n[self.second], 1))), strict=True):
+            arcs, upper, lower = sums.T
+            out.append(np.log10(np.maximum(1 - (upper - DISCOUNT * arcs) / c, 1e-12) / np.maximum(1 - (lower - take * arcs) / each, 1e-12)))
+        return out[0], out[1]
+
     def scores(self, norm: float) -> list[np.ndarray]:
         """Per text: tokens, known tokens, base score, score."""
         self.logs(norm)
+        word_back, pair_back = self.backs(norm)
         n, at = len(self.lens), self.at
         row, word = self.row[at], self.seq[at]
         with np.errstate(invalid="ignore", divide="ignore"):
@@ -223,9 +235,9 @@ class Chunk:
         base = arcs[0][word]
         pair, before, triple = self.pair_at[at], self.pair_at[at - 1], self.triple_at[at]
         # the walk's value at a state of one word: its arc, or its failure arc and the word itself
-        one = np.where(self.pair_n[pair] > 0, arcs[1][pair], self.word_back[self.seq[at - 1]] + base)
+        one = np.where(self.pair_n[pair] > 0, arcs[1][pair], word_back[self.seq[at - 1]] + base)
         deep = (before >= 0) & (self.pair_n[before] > 0)
-        value = one + np.where(deep, self.pair_back[before], 0)
+        value = one + np.where(deep, pair_back[before], 0)
         taken = np.flatnonzero(triple >= 0)
         taken = taken[self.triple_n[triple[taken]] > 0]
         value[taken] = arcs[2][triple[taken]]
@@ -288,31 +300,32 @@ def _answer(out: list) -> pa.RecordBatch:
     return pa.record_batch([pa.array([x], t) for x, t in zip(out, types, strict=True)], ["range", "chunk", "body", "owned", "tokens", "words"])
 
 
-def _masses(batches):
-    """Answers with the log10 masses of states' failure arcs."""
+def _summed(batches):
+    """Answers with the sums of what chunks give for each key."""
     for rows in _runs(batches, "range"):
         keys = [unpacked_keys(r["keys"]) for r in rows]
         cuts = np.cumsum([0, *map(len, keys)])
-        every, given = np.concatenate(keys), np.concatenate([unpacked(r["given"], np.float64) for r in rows]).reshape(-1, 2)
+        every, given = np.concatenate(keys), np.concatenate([unpacked(r["given"], np.int64) for r in rows]).reshape(-1, 3)
         order = np.argsort(every, kind="stable")
         new = np.r_[True, every[order][1:] != every[order][:-1]]
-        kept, lower = np.add.reduceat(given[order], np.flatnonzero(new)).T
-        back = np.log10(np.maximum(1 - kept, 1e-12) / np.maximum(1 - lower, 1e-12))
-        values = np.empty(len(every))
-        values[order] = back[np.cumsum(new) - 1]
+        values = np.empty_like(given)
+        values[order] = np.add.reduceat(given[order], np.flatnonzero(new))[np.cumsum(new) - 1]
         for r, a, b in zip(rows, cuts, cuts[1:], strict=False):
-            yield _answer([r["range"], r["chunk"], packed(values[a:b]), packed(np.zeros(0, np.uint8)), 0, 0])
+            yield _answer([r["range"], r["chunk"], packed(values[a:b].ravel()), packed(np.zeros(0, np.uint8)), 0, 0])
 
 
 def _met(rows: list[dict]) -> Chunk:
     """A chunk from its own row and its answers, which come in the order of ranges."""
     answers = {}
-    for kind, dtype in (("short", np.int64), ("triple", np.int64), ("state", np.float64)):
+    for kind in ("short", "triple", "state"):
         own = [r for r in rows if r["kind"] == kind]
         if own or any(r["kind"] == f"asked {kind}" for r in rows):
-            bodies = [unpacked(r["body"], dtype) for r in own]
-            owned = [np.unpackbits(unpacked(r["owned"], np.uint8), count=len(b)).astype(bool) if kind != "state" else np.zeros(len(b), bool) for r, b in zip(own, bodies, strict=True)]
-            answers[kind] = (np.concatenate([np.empty(0, dtype), *bodies]), np.concatenate([np.empty(0, bool), *owned]))
+            bodies = [unpacked(r["body"], np.int64) for r in own]
+            bits = [np.unpackbits(unpacked(r["owned"], np.uint8), count=len(b)).astype(bool) for r, b in zip(own, bodies, strict=True) if kind != "state"]
+            values = np.concatenate([np.empty(0, np.int64), *bodies])
+            if kind == "state":
+                values = values.reshape(-1, 3)
+            answers[kind] = (values, np.concatenate(bits) if bits else np.zeros(len(values), bool))
     return Chunk(next(r for r in rows if r["kind"] == "a chunk"), answers)
 
 
@@ -371,7 +384,7 @@ def lm_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     norm = tokens + 0.5 * (words + 1)
     answers = {"short": short}
     answers["triple"] = ask(Chunk.triple_question, answers, _counted)
-    answers["state"] = ask(lambda chunk: chunk.state_question(norm), answers, _masses)
+    answers["state"] = ask(Chunk.state_question, answers, _summed)
     shape = T.StructType().add("id", kind).add("held_out", "boolean").add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double")
     out = _answered(chunks, answers, parts).mapInArrow(_scored(norm, id_type), shape)
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
