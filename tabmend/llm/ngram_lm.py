@@ -41,7 +41,7 @@ from tabmend.llm.common import LOWER, TokenHasher, materialize, mix, small_batch
 #: Least count of an arc, and what is taken off each count.
 LEAST, DISCOUNT = 2, 0.6
 #: Tokens from which a chunk is closed, and tokens for each range of keys: they bound a task's memory.
-CHUNK_TOKENS, RANGE_TOKENS = 1_000_000, 3_000_000
+CHUNK_TOKENS, RANGE_TOKENS = 1_500_000, 3_000_000
 END = b""
 END_KEY = np.uint64(0x5851F42D4C957F2D)
 LONGER = np.uint64(1)
@@ -99,7 +99,12 @@ def _chunks(id_type: pa.DataType, full: int):
 
         def flush():
             every = np.concatenate(keys)
-            words, codes = np.unique(every, return_inverse=True)
+            words, codes, n = np.unique(every, return_inverse=True, return_counts=True)
+            # frequent words get small codes, which pack better
+            order = np.argsort(-n, kind="stable")
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            words, codes = words[order], rank[codes]
             body = b"".join(len(x).to_bytes(8, "little") + x for x in (packed(np.concatenate(lens)), packed(words), packed(codes.astype(np.uint32))))
             own = pa.chunked_array(ids, id_type).combine_chunks()
             out = pa.concat_arrays(held)
@@ -135,16 +140,17 @@ class Chunk:
             parts.append(unpacked(body[at + 8 : at + 8 + n], dtype))
             at += 8 + n
         self.lens, self.words, seq = parts
-        self.seq = seq.astype(np.int64)
-        self.row = np.repeat(np.arange(len(self.lens)), self.lens)
+        self.seq = seq
+        self.row = np.repeat(np.arange(len(self.lens), dtype=np.uint32), self.lens)
         #: Positions of all tokens but each text's first, and whether their text trains.
-        self.at = np.flatnonzero(np.r_[False, self.row[1:] == self.row[:-1]])
+        self.at = np.flatnonzero(np.r_[False, self.row[1:] == self.row[:-1]]).astype(np.uint32)
         trains = np.array([x is False for x in row["held"]], bool)
         self.trains = trains[self.row]
-        codes = self.seq[self.at - 1] * len(self.words) + self.seq[self.at]
+        codes = self.seq[self.at - 1] * np.int64(len(self.words)) + self.seq[self.at]
         self.pairs, of = np.unique(codes, return_inverse=True)
+        del codes
         #: The pair that ends at each position; none at a text's first.
-        self.pair_at = np.full(len(self.seq), -1)
+        self.pair_at = np.full(len(self.seq), -1, np.int32)
         self.pair_at[self.at] = of
         self.first, self.second = self.pairs // len(self.words), self.pairs % len(self.words)
         self.pair_hash = mix(mix(self.words[self.first]) * np.uint64(0x9FB21C651E98DF25) + self.words[self.second])
@@ -170,9 +176,9 @@ class Chunk:
     def _triples(self) -> None:
         kept = np.r_[self.pair_n > 0, False]  # the last stands for no pair
         at = self.at[kept[self.pair_at[self.at]] & kept[self.pair_at[self.at - 1]]]
-        codes = self.pair_at[at - 1] * max(1, len(self.pairs)) + self.pair_at[at]
+        codes = self.pair_at[at - 1] * np.int64(max(1, len(self.pairs))) + self.pair_at[at]
         self.triples, of = np.unique(codes, return_inverse=True)
-        self.triple_at = np.full(len(self.seq), -1)
+        self.triple_at = np.full(len(self.seq), -1, np.int32)
         self.triple_at[at] = of
         self.upper, self.lower = self.triples // max(1, len(self.pairs)), self.triples % max(1, len(self.pairs))
         self.triple_keys = mix(mix(self.pair_hash[self.upper] + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) + self.words[self.second[self.lower]]) | LONGER
@@ -375,7 +381,7 @@ def lm_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     def ask(question, answers: dict[str, DataFrame], answer) -> DataFrame:
         asked = _answered(chunks, answers, parts) if answers else chunks.select("chunk", F.lit("a chunk").alias("kind"), "body", "held")
         asked = asked.mapInArrow(_per_chunk(question, ranges), QUESTION)
-        got = materialize(asked.repartition(ranges, "range").sortWithinPartitions("range", "chunk").mapInArrow(answer, ANSWER))
+        got = materialize(asked.repartitionById(ranges, "range").sortWithinPartitions("range", "chunk").mapInArrow(answer, ANSWER))
         tidy(spark)
         return got
 
