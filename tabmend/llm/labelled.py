@@ -36,6 +36,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, make, bound: int, id_
     small_batches(docs.sparkSession)
     picked = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull())
     picked = picked.groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("y"))
+    # labels of documents that aren't there don't count towards the bound
+    picked = picked.join(docs.select(F.col(id_col).alias("_id")), "_id", "left_semi")
     # a threshold first, so that tasks don't each send `bound` rows; it leaves enough but for one chance in ten thousand
     share = min(1.0, (bound + 4 * bound**0.5 + 16) / max(1, picked.count()))
     picked = picked.filter(F.xxhash64("_id") <= F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1))
@@ -47,7 +49,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, make, bound: int, id_
 
 
 def scored(df: DataFrame, make, score, text_col: str, out: str) -> DataFrame:
-    """df with the column `out`: score(feature ids) of every whole text; a null text counts as empty."""
+    """df with the column `out`: score(feature ids) of every whole text; a null text counts as empty. A column of that name is replaced."""
+    df = df.drop(out)
     held = df.columns
 
     def run(batches):

@@ -9,7 +9,8 @@ apart to turn margins into probabilities.
 
 Results in odd cases: null and empty texts have no n-gram and get the score of
 the bias alone; repeated rows get equal scores; without labelled rows every score
-is 0.5; other columns pass through unread.
+is 0.5; a column named like the
+score is replaced, other columns pass through unread.
 """
 
 from __future__ import annotations

@@ -13,8 +13,8 @@ driver, and both have fixed bounds.
 
 Results in odd cases: a null text has size EXTRA and the checksum of an empty
 text; null ids come first in their text's range; repeated rows take separate
-slots, and rows equal in id and text stay in one range; shards may stay empty
-where rows are fewer; an empty table gives an empty table. Columns named like the
+slots, and rows equal in id and text are told apart by number where they would
+overfill a range; shards may stay empty where rows are fewer; an empty table gives an empty table. Columns named like the
 added ones are replaced; others are kept.
 """
 
@@ -25,10 +25,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabmend.llm.common import materialize, unused
+
 #: Ranges for each shard, sampled keys for each range, bytes a row counts besides its text.
 PIECES, SAMPLED, EXTRA = 128, 6, 16
-#: A range above this part of a shard is subdivided, in at most ROUNDS rounds.
-OVERFULL, ROUNDS = 1 / 16, 3
+#: A range above this part of a shard is subdivided until none of several keys is left.
+OVERFULL = 1 / 16
 
 
 def piece_of(splitters: list[tuple[int, int]]):
@@ -49,48 +51,57 @@ def piece_of(splitters: list[tuple[int, int]]):
     return locate
 
 
-def _sampled(rows: DataFrame, n: int, total: int) -> list[tuple[int, int]]:
+def _sampled(rows: DataFrame, n: int, total: int, seed: int) -> list[tuple[int, int]]:
     """About n keys, each drawn with a chance in proportion to its size of `total`."""
-    u = F.pmod(F.xxhash64(F.lit(3), "_a", "_b"), F.lit(2**52)) / float(2**52)
-    drawn = rows.filter(u * total < F.col("_size") * n).select("_a", "_b").distinct()
-    return sorted((r["_a"], r["_b"]) for r in drawn.collect())
+    u = F.pmod(F.xxhash64(F.lit(seed), "a", "b"), F.lit(2**52)) / float(2**52)
+    drawn = rows.filter(u * total < F.col("size") * n).select("a", "b").distinct()
+    return sorted((r["a"], r["b"]) for r in drawn.collect())
 
 
 def shard_by_sampled_splitters(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with size, text_crc32, shard and slot; sizes of shards are nearly equal."""
+    spark = df.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = df.withColumns({"size": (F.octet_length(text) + EXTRA).cast("long"), "text_crc32": F.crc32(text.cast("binary"))})
-    keyed = rows.withColumns({"_a": F.xxhash64(text), "_b": F.xxhash64(F.col(id_col)), "_size": F.col("size")})
-    keys = keyed.select("_a", "_b", "_size")
-    total = keys.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
-    drawn = _sampled(keys, shards * PIECES * SAMPLED, total)
+    a, b, copy, piece, first, rank = (unused(df, f"{x}_of_shard") for x in ("a", "b", "copy", "piece", "first", "rank"))
+    rows = df.withColumns({a: F.xxhash64(text), b: F.xxhash64(F.col(id_col)), "size": (F.octet_length(text) + EXTRA).cast("long"), "text_crc32": F.crc32(text.cast("binary"))})
+    keys = rows.select(F.col(a).alias("a"), F.col(b).alias("b"), "size")
+    total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    most = OVERFULL * total / shards
+    # rows equal in id and text that would overfill a range by themselves; there can be no more keys of them than ranges of that size
+    hot = keys.groupBy("a", "b").agg(F.sum("size").alias("size"), F.count("*").alias("n")).filter((F.col("size") > most) & (F.col("n") > 1)).select("a", "b").collect()
+    if hot:
+        # such rows get keys of their own, written once so that every later pass sees the same
+        table = spark.createDataFrame([(r["a"], r["b"], True) for r in hot], f"{a} long, {b} long, {copy} boolean")
+        rows = rows.join(F.broadcast(table), [a, b], "left")
+        rows = materialize(rows.withColumn(b, F.when(F.col(copy), F.xxhash64(F.col(b), F.monotonically_increasing_id())).otherwise(F.col(b))).drop(copy))
+        keys = rows.select(F.col(a).alias("a"), F.col(b).alias("b"), "size")
+    drawn = _sampled(keys, shards * PIECES * SAMPLED, total, 0)
     step = max(1.0, len(drawn) / (shards * PIECES))
     splitters = sorted({(drawn[int(i * step)][0], -(2**63)) for i in range(min(len(drawn), shards * PIECES))})
-    for _ in range(ROUNDS):
+    seed = 0
+    while True:
         sums = _sums(keys, splitters)
-        most = OVERFULL * sums["size"].sum() / shards
-        full = sums[(sums["size"] > most) & (sums["n"] > 1) & (sums["keys"] > 1)]
+        full = sums[(sums["size"] > most) & (sums["keys"] > 1)]
         if full.empty:
             break
-        inside = keys.filter(piece_of(splitters)("_a", "_b").isin(full.index.tolist()))
+        seed += 1
+        inside = keys.filter(piece_of(splitters)("a", "b").isin(full.index.tolist()))
         wanted = int(np.ceil(4 * full["size"].sum() / most))  # quarters of what a range may hold
-        more = _sampled(inside, wanted * SAMPLED, int(full["size"].sum()))
+        more = _sampled(inside, wanted * SAMPLED, int(full["size"].sum()), seed)
         splitters = sorted({*splitters, *more[:: SAMPLED if len(more) > wanted else 1]})
-    else:
-        sums = _sums(keys, splitters)
     shard, slot = _dealt(sums, shards)
-    table = pd.DataFrame({"_piece": sums.index.astype("int32"), "shard": shard, "_slot": slot})
-    places = F.broadcast(df.sparkSession.createDataFrame(table, "_piece int, shard int, _slot long"))
-    rank = F.row_number().over(Window.partitionBy("_piece").orderBy("_a", "_b"))
-    out = keyed.withColumn("_piece", piece_of(splitters)("_a", "_b")).withColumn("_rank", rank).join(places, "_piece")
-    return out.withColumn("slot", (F.col("_slot") + F.col("_rank") - 1).cast("long")).drop("_a", "_b", "_size", "_piece", "_rank", "_slot")
+    table = pd.DataFrame({piece: sums.index.astype("int32"), "shard": shard, first: slot})
+    places = F.broadcast(spark.createDataFrame(table, f"{piece} int, shard int, {first} long"))
+    within = F.row_number().over(Window.partitionBy(piece).orderBy(a, b))
+    out = rows.drop("shard", "slot").withColumn(piece, piece_of(splitters)(a, b)).withColumn(rank, within).join(places, piece)
+    return out.withColumn("slot", (F.col(first) + F.col(rank) - 1).cast("long")).drop(a, b, piece, rank, first)
 
 
 def _sums(keys: DataFrame, splitters: list[tuple[int, int]]) -> pd.DataFrame:
     """Size, rows and (two for many) distinct keys of each range; one row for each splitter at most."""
-    key: Column = F.struct("_a", "_b")
-    by = keys.groupBy(piece_of(splitters)("_a", "_b").alias("piece"))
-    got = by.agg(F.sum("_size").alias("size"), F.count("*").alias("n"), (F.min(key) != F.max(key)).cast("int").alias("keys"))
+    key: Column = F.struct("a", "b")
+    by = keys.groupBy(piece_of(splitters)("a", "b").alias("piece"))
+    got = by.agg(F.sum("size").alias("size"), F.count("*").alias("n"), (F.min(key) != F.max(key)).cast("int").alias("keys"))
     rows = [(r["piece"], r["size"], r["n"], 1 + r["keys"]) for r in got.collect()]
     return pd.DataFrame(rows, columns=["piece", "size", "n", "keys"]).set_index("piece").sort_index()
 

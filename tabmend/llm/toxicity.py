@@ -9,7 +9,8 @@ toxic texts differs from the rest by under MIN_Z standard errors, carry nothing.
 
 Results in odd cases: null and empty texts get the score of a text without terms;
 repeated rows get equal scores; without labelled rows every score is 0; labels of
-one class give scores near that class; other columns pass through unread.
+one class give scores near that class; a column named like the
+score is replaced, other columns pass through unread.
 """
 
 from __future__ import annotations

@@ -48,6 +48,26 @@ def test_near_duplicates_from_four_fifths(spark, make_docs):
     assert kept == {1, 3, 4}
 
 
+def test_stages_take_odd_rows_and_columns_of_any_name(spark, tmp_path, odd_rows):
+    names = ["score", "_score", "bad_id", "bad_hash", "stay_id", "stay_hash", "own_hash", "copy", "n", "node", "group", "text_hash", "id", "part"]
+    columns = ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *(f"{x} long" for x in names)])
+    rows = [(i, t, "en", "s", len(t or ""), *range(len(names))) for i, t in odd_rows]
+    docs = spark.createDataFrame(rows, columns)
+    spark.createDataFrame([(6, 1, 0), (4, 1, 0), (7, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "naïve café ünïcode naïve café ünïcode")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name != "packing":
+            assert out.columns == docs.columns, name
+        got[name] = sorted((str(r["doc_id"]) for r in out.select("doc_id").collect()))
+    everyone = sorted(str(i) for i, _ in odd_rows)
+    assert got["toxicity"] == got["quality"] == everyone
+    # 4, 5, 5 and one without an id have one text; the least id stays
+    assert got["near_duplicates"] == sorted(["1", "2", "3", "4", "6", "7", "None", "8", "9"])
+    assert got["decontamination"] == [x for x in everyone if x != "8"]
+
+
 def test_an_empty_table_goes_through(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))

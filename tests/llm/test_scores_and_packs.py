@@ -182,6 +182,21 @@ def test_shards_are_nearly_equal_and_keep_copies(spark, make_docs):
     assert len({shard[i] for i in range(0, 3000, 3)}) > 1  # the hot text is divided
 
 
+def test_shards_divide_equal_rows(spark, make_docs):
+    rows = [(7, "one row that occurs often " * 3)] * 4000 + [(i, f"some text {i} " * (i % 9)) for i in range(100, 2100)]
+    sizes = check_shards(rows, shard_by_sampled_splitters(make_docs(rows), 8).collect(), 8)
+    assert max(sizes) - min(sizes) < 0.02 * max(sizes)
+
+
+def test_shards_keep_columns_of_any_name(spark):
+    names = ["a_of_shard", "B_of_shard", "_size", "_slot", "slot", "shard", "size"]
+    df = spark.createDataFrame([(i, f"text {i}", *range(7)) for i in range(50)], ["doc_id", "text", *names])
+    out = shard_by_sampled_splitters(df, 3)
+    assert sorted(out.columns) == sorted([*df.columns, "text_crc32"])
+    row = out.collect()[0]
+    assert (row["a_of_shard"], row["B_of_shard"], row["_size"], row["_slot"]) == (0, 1, 2, 3)
+
+
 def test_shard_odd_rows(spark, make_docs, odd_rows):
     check_shards(odd_rows, shard_by_sampled_splitters(make_docs(odd_rows), 5).collect(), 5)
     assert shard_by_sampled_splitters(make_docs([]), 5).collect() == []
