@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabmend.llm.common import materialize, read
+from tabmend.llm.common import WRITTEN, discard, materialize, read, unused
 from tabmend.llm.decontam import decontaminated
 from tabmend.llm.neardup import near_duplicates
 from tabmend.llm.packing import pack
@@ -29,25 +29,26 @@ NEAR = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity_scores(docs, docs, read(spark, sf_dir, "labels"), out="_score")
-    return scored.filter(F.col("_score") < TOXIC).drop("_score")
+    score = unused(docs, "score")
+    scored = toxicity_scores(docs, docs, read(spark, sf_dir, "labels"), out=score)
+    return scored.filter(F.col(score) < TOXIC).drop(score)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality_scores(docs, docs, read(spark, sf_dir, "labels"), out="_score")
-    return scored.filter(F.col("_score") >= GOOD).drop("_score")
+    score = unused(docs, "score")
+    scored = quality_scores(docs, docs, read(spark, sf_dir, "labels"), out=score)
+    return scored.filter(F.col(score) >= GOOD).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component, that of the least id; of rows equal in id and text, one."""
     found = near_duplicates(docs, percent=NEAR).filter("kept")
-    first = F.row_number().over(Window.partitionBy("group").orderBy("doc_id", "text_hash"))
+    least = found.filter("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("m")).select("m.doc_id", "m.text_hash")
     alone = found.filter("group is null").select("doc_id", "text_hash")
-    stays = found.filter("group is not null").withColumn("_n", first).filter("_n = 1").select("doc_id", "text_hash").unionByName(alone)
-    stays = stays.distinct().select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    own = docs.withColumn("_text", F.xxhash64("text")).join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left_semi")
-    again = F.row_number().over(Window.partitionBy("doc_id", "_text").orderBy("text"))
-    return own.withColumn("_n", again).filter("_n = 1").drop("_n", "_text")
+    the_id, the_hash, own, n = (unused(docs, x) for x in ("stay_id", "stay_hash", "own_hash", "copy"))
+    stays = least.unionByName(alone).distinct().select(F.col("doc_id").alias(the_id), F.col("text_hash").alias(the_hash))
+    left = docs.withColumn(own, F.xxhash64("text")).join(stays, F.col("doc_id").eqNullSafe(F.col(the_id)) & (F.col(own) == F.col(the_hash)), "left_semi")
+    return left.withColumn(n, F.row_number().over(Window.partitionBy("doc_id", own).orderBy("text"))).filter(F.col(n) == 1).drop(n, own)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,9 +72,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), []
     for at, (_, stage) in enumerate(STAGES):
+        mark = len(WRITTEN)
         docs = stage(spark, docs, sf_dir)
         if at + 1 < len(STAGES):
             docs = materialize(docs)
+            discard(spark, before + WRITTEN[mark:-1])
+            before = WRITTEN[-1:]
     return docs
