@@ -9,11 +9,14 @@ starting states are known. Nothing is sorted globally, and no window spans parts
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Above so many parts the table of parts is joined by shuffle instead of broadcast.
 BROADCAST_PARTS = 200_000
+#: First rows that may be held in memory; lines beyond twice a sample's rows in which it is looked for.
+TOP_ROWS, SPARE = 100_000, 1000
 
 
 def with_order(df: DataFrame) -> DataFrame:
@@ -36,10 +39,38 @@ def by_part_size(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.limit(BROADCAST_PARTS + 1).count() <= BROADCAST_PARTS else table
 
 
+def place(pos) -> Column:
+    """A place that was collected, which may be a struct of structs, as a literal."""
+    return F.struct(*(place(v).alias(k) for k, v in zip(pos.__fields__, pos, strict=True))) if isinstance(pos, Row) else F.lit(pos)
+
+
 def rank_of(carrier: DataFrame, pos) -> int:
-    """How many rows stand at or before a place, which may be a struct."""
-    at = F.struct(*(F.lit(v).alias(k) for k, v in pos.asDict().items())) if hasattr(pos, "asDict") else F.lit(pos)
-    return carrier.filter(F.col("pos") <= at).count()
+    """How many rows stand at or before a place."""
+    return carrier.filter(F.col("pos") <= place(pos)).count()
+
+
+def first_rows(carrier: DataFrame, n: int) -> DataFrame:
+    """The first n rows, in any order. Where places are numbers, a bounded prefix is tried first, so that what follows it is not parsed."""
+    if n > TOP_ROWS:
+        # whole parts and the start of one, which a sort that can spill finds; a top-n would make room for n rows
+        parts = carrier if "part" in carrier.columns else carrier.withColumn("part", F.lit(0).cast("long"))
+        left = n
+        for r in parts.groupBy("part").count().orderBy("part").collect():
+            if r["count"] > left:
+                edge = parts.filter(F.col("part") == r["part"]).withColumn("_rank", F.row_number().over(Window.partitionBy("part").orderBy("pos")))
+                edge = edge.filter(F.col("_rank") <= left).drop("_rank")
+                return parts.filter(F.col("part") < r["part"]).unionByName(edge).select(carrier.columns)
+            left -= r["count"]
+        return carrier
+    line = F.col("pos")
+    kind = carrier.schema["pos"].dataType
+    while isinstance(kind, T.StructType) and kind.names:
+        line, kind = line.getField(kind.names[0]), kind.fields[0].dataType
+    if isinstance(kind, T.LongType):
+        prefix = carrier.filter(line < 2 * n + SPARE)
+        if prefix.limit(n).count() >= n:
+            carrier = prefix
+    return carrier.orderBy("pos").limit(n)
 
 
 def from_rows(df: DataFrame, order: list[str]) -> DataFrame:

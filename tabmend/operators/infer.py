@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabmend.config import INFER_ROWS, MISMATCH_COLUMNS_SHOWN
 from tabmend.functions.typed import INT, FLOAT, BOOL, PRIORITY, TEXT, coerce, fits, misfit
-from tabmend.operators.carrier import rank_of
+from tabmend.operators.carrier import first_rows, rank_of
 from tabmend.options import ConversionError
 
 
@@ -34,7 +34,7 @@ def _inferred(each: DataFrame, width: int) -> list[str]:
 
 def infer_carrier_types(carrier: DataFrame, width: int, rows: int = INFER_ROWS) -> list[str]:
     """Types of a carrier's columns from its first rows."""
-    sample = carrier.orderBy("pos").limit(rows)
+    sample = first_rows(carrier, rows)
     return _inferred(sample.select(F.posexplode(F.slice("cells", 1, width)).alias("i", "c")), width) if width else []
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from tabmend.config import JOIN_LOOKAHEAD, REALIGN_EXTRA, REALIGN_PROFILE
 from tabmend.functions.typed import TEXT, fits
-from tabmend.operators.carrier import by_part_size
+from tabmend.operators.carrier import by_part_size, first_rows
 from tabmend.operators.infer import infer_types
 
 
@@ -173,7 +173,7 @@ def realign(carrier: DataFrame, width: int, delimiter: str) -> DataFrame:
     Types come from the first REALIGN_PROFILE rows of the right width; the repair is
     one expression for each row.
     """
-    clean = carrier.filter(F.size("cells") == width).orderBy("pos").limit(REALIGN_PROFILE)
+    clean = first_rows(carrier.filter(F.size("cells") == width), REALIGN_PROFILE)
     kinds = infer_types(clean, [F.get("cells", F.lit(i)) for i in range(width)])
     texts = [i for i, k in enumerate(kinds) if k == TEXT]
     extra = F.size("cells") - width

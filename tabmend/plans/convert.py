@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabmend.config import PREVIEW_ROWS
 from tabmend.functions.typed import TEXT
 from tabmend.metrics import Metrics, counters, measured, of_counters
+from tabmend.operators.carrier import first_rows
 from tabmend.operators.guard import guard, kept, warnings
 from tabmend.operators.infer import MismatchReport, infer_carrier_types, mismatch_counts, require_fit, typed_columns
 from tabmend.operators.names import output_names
@@ -80,7 +81,7 @@ class Conversion:
         return self.carrier.select(*typed_columns(self.cells(), self.names, kinds))
 
     def preview(self) -> DataFrame:
-        return self.carrier.orderBy("pos").limit(PREVIEW_ROWS).select(*(F.left(c, F.lit(32)).alias(n) for c, n in zip(self.cells(), self.names, strict=True)))
+        return first_rows(self.carrier, PREVIEW_ROWS).select(*(F.left(c, F.lit(32)).alias(n) for c, n in zip(self.cells(), self.names, strict=True)))
 
     def observed(self) -> tuple[DataFrame, Watch]:
         """The frame, and what the pass that writes it has counted, so that no second pass is needed."""

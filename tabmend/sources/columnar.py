@@ -47,6 +47,14 @@ def parquet_text(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
 
 
 def rows_at(spark: SparkSession, path: str, indices: list[int]) -> DataFrame:
-    """The rows of these places in each file; places past the end are ignored."""
+    """The rows of these places in the table, whose files follow each other by name; places past the end are ignored."""
     df = spark.read.parquet(path)
-    return df.select("*", F.col("_metadata.row_index").alias("row_index")).filter(F.col("row_index").isin(sorted(set(indices))))
+    file, at = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    wanted, before, picked, index = sorted(set(indices)), 0, F.lit(False), F.lit(None).cast("long")
+    for r in sorted(df.groupBy(file.alias("file")).count().collect()):  # a row for each file, from footers
+        own = [i - before for i in wanted if before <= i < before + r["count"]]
+        if own:  # a condition on the path spares the other files
+            picked = picked | ((file == r["file"]) & at.isin(own))
+            index = F.when(file == r["file"], at + before).otherwise(index)
+        before += r["count"]
+    return df.select("*", index.alias("row_index")).filter(picked)

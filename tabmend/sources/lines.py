@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tabmend.config import DETECT_BYTES
 from tabmend.functions import charset
-from tabmend.operators.carrier import by_part_size, with_order
+from tabmend.operators.carrier import by_part_size, first_rows, from_rows, place, with_order
 from tabmend.operators.names import positional_names
 from tabmend.operators.repair import drop_trailing, join_broken, realign
 from tabmend.options import ConversionError, Options
@@ -78,9 +78,12 @@ def _wide_lines(spark: SparkSession, path: str, codec: str) -> DataFrame:
                 if rest:
                     yield pa.record_batch([pa.array([part], pa.int64()), pa.array([at], pa.int64()), pa.array([rest], pa.string())], ["part", "line", "value"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content").repartition("path").withColumn("part", F.monotonically_increasing_id())
+    files = spark.read.format("binaryFile").load(path)
+    names = sorted(r["path"] for r in files.select("path").collect())  # a row for each file
+    parts = by_part_size(spark.createDataFrame([(x, i) for i, x in enumerate(names)], "path string, part long"))
+    files = files.select("path", "content").join(parts, "path").repartition(max(1, len(names)), "part")
     lines = files.select("part", "content").mapInArrow(run, "part long, line long, value string")
-    return lines.withColumn("pos", F.shiftleft(F.col("part"), 24) + F.col("line")).drop("line").withColumn("n_fallback", F.lit(0))
+    return lines.select("part", F.struct("part", "line").alias("pos"), "value", F.lit(0).alias("n_fallback"))
 
 
 def odd_quotes(line: Column) -> Column:
@@ -147,18 +150,23 @@ def _transitions(delimiter: str):
     return run
 
 
+def any_open(lines: DataFrame, delimiter: str) -> bool:
+    """Whether a line opens a quote that it leaves open; else no record spans lines. Only lines with quotes go to Python."""
+
+    @F.arrow_udf("boolean")
+    def opens(texts: pa.Array) -> pa.Array:
+        return pa.array([ends_open(t, delimiter, False) for t in texts.to_pylist()], pa.bool_())
+
+    return not lines.filter(F.contains("value", F.lit('"'))).filter(opens("value")).isEmpty()
+
+
 def assemble(lines: DataFrame, delimiter: str) -> DataFrame:
     """Lines of one quoted record joined by line feeds; others pass through where they are.
 
     The parts' entry states follow from one small row for each part.
     """
 
-    @F.arrow_udf("boolean")
-    def opens(texts: pa.Array) -> pa.Array:
-        return pa.array([ends_open(t, delimiter, False) for t in texts.to_pylist()], pa.bool_())
-
-    # where no line opens a quote that it leaves open, no record spans lines; only lines with quotes go to Python
-    if lines.filter(F.contains("value", F.lit('"'))).filter(opens("value")).isEmpty():
+    if not any_open(lines, delimiter):
         return lines
     schema = T.StructType(list(lines.schema.fields))
     for entry in "01":
@@ -278,7 +286,9 @@ def open_delimited(spark: SparkSession, path: str, options: Options) -> Delimite
 
 
 def _opened(rows: DataFrame, options: Options) -> Delimited:
-    first = rows.select("pos", "sub", "cells").orderBy("pos", "sub").limit(1).collect()
+    # a record's place: its line's, then its place in the line
+    rows = rows.withColumn("pos", F.struct("pos", "sub")).drop("sub")
+    first = first_rows(rows.select("pos", "cells"), 1).collect()
     if not first:
         raise ConversionError("CSV file has no rows")
     head = first[0]
@@ -288,9 +298,7 @@ def _opened(rows: DataFrame, options: Options) -> Delimited:
         names = list(head["cells"])
         if options.trailing_delimiter and len(names) > 1 and names[-1] == "":
             names = names[:-1]
-        rows = rows.filter((F.col("pos") > head["pos"]) | (F.col("sub") > head["sub"]))
-    # a record's place: its line's, then its place in the line
-    rows = rows.withColumn("pos", F.struct("pos", "sub")).drop("sub")
+        rows = rows.filter(F.col("pos") > place(head["pos"]))
     width = len(names)
     if options.trailing_delimiter:
         rows = drop_trailing(rows, width)
@@ -303,10 +311,13 @@ def _opened(rows: DataFrame, options: Options) -> Delimited:
 
 def from_text(lines: DataFrame, order: list[str], options: Options) -> Delimited:
     """The same for lines that a DataFrame holds in its column `value`."""
-    from tabmend.operators.carrier import from_rows
-
-    lines = from_rows(lines, order).select("part", "pos", "value", F.lit(0).alias("n_fallback"))
+    lines = lines.withColumn("n_fallback", F.lit(0))
     lines = close_quotes(lines) if options.quoting and options.repair else lines.withColumn("n_quote", F.lit(0))
-    if options.quoting:
-        lines = assemble(lines, options.delimiter)
+    own = ["part", "pos", "value", "n_fallback", "n_quote"]
+    if options.join_lines or options.realign or options.quoting and any_open(lines, options.delimiter):
+        lines = from_rows(lines, order).select(own)
+        if options.quoting:
+            lines = assemble(lines, options.delimiter)
+    else:  # nothing looks from one line to the next, so the order's columns are place enough
+        lines = lines.withColumn("part", F.lit(0).cast("long")).withColumn("pos", F.struct(*order)).select(own)
     return _opened(records(lines, options), options)

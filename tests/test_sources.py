@@ -140,5 +140,5 @@ def test_dump_query_reads_back_every_order(spark, tmp_path):
     spark.createDataFrame(rows, "o_orderkey long, o_orderpriority string, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
     from tabmend.queries import QUERIES
 
-    out = QUERIES["sqldump_orders_whole"](spark, str(tmp_path)).collect()
+    out = QUERIES["sqldump_orders"](spark, str(tmp_path)).collect()
     assert sorted((int(r["k"]), r["p"], float(r["t"])) for r in out) == rows

@@ -147,5 +147,5 @@ def test_fallback_query_decodes_every_language(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     from tabmend.queries import QUERIES
 
-    out = QUERIES["fallback_decode_whole"](spark, str(tmp_path)).collect()
+    out = QUERIES["fallback_decode"](spark, str(tmp_path)).collect()
     assert sorted((r["doc_id"], r["text"]) for r in out) == [r[:2] for r in rows]
