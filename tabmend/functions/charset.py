@@ -135,7 +135,9 @@ def detect_encoding(data: bytes) -> str:
             hangul = sum("가" <= c <= "힣" for c in wide)
             han = sum("一" <= c <= "鿿" for c in wide)
             need = {"shift_jis": kana, "euc-jp": kana, "euc-kr": hangul, "gb18030": han, "big5": han}[name]
-            if need >= 0.4 * len(wide) and kana + hangul + han >= 0.8 * len(wide):
+            # an accent and the letter behind it also read as one wide character, which then mostly stands alone
+            alone = sum(not c.isascii() and a.isascii() and b.isascii() for a, c, b in zip(" " + text, text, text[1:] + " ", strict=False))
+            if need >= 0.4 * len(wide) and kana + hangul + han >= 0.8 * len(wide) and alone <= 0.5 * len(wide):
                 return name
     return single
 

@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 BROADCAST_PARTS = 200_000
 #: First rows that may be held in memory; lines beyond twice a sample's rows in which it is looked for.
 TOP_ROWS, SPARE = 100_000, 1000
+#: Rows for which there is a part, parts at most, and rows drawn for each part's boundary.
+PART_ROWS, MOST_PARTS, SAMPLED = 500_000, 4096, 64
 
 
 def with_order(df: DataFrame) -> DataFrame:
@@ -67,13 +69,38 @@ def first_rows(carrier: DataFrame, n: int) -> DataFrame:
     while isinstance(kind, T.StructType) and kind.names:
         line, kind = line.getField(kind.names[0]), kind.fields[0].dataType
     if isinstance(kind, T.LongType):
-        prefix = carrier.filter(line < 2 * n + SPARE)
+        prefix = carrier.filter((line < 2 * n + SPARE) | line.isNull())
         if prefix.limit(n).count() >= n:
             carrier = prefix
     return carrier.orderBy("pos").limit(n)
 
 
+def boundaries(df: DataFrame, order: list[str]) -> list[Row]:
+    """Quantiles of the order's columns, from about SAMPLED rows for each part. A hash picks them, so that they are the same whenever they are asked for."""
+    keys = df.select(*order)
+    n = keys.count()
+    parts = min(MOST_PARTS, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // PART_ROWS)))
+    each = max(1, n // (SAMPLED * parts))
+    drawn = keys.filter(F.pmod(F.xxhash64(*order), F.lit(each)) == 0).distinct().orderBy(*order).collect()  # some SAMPLED * MOST_PARTS at most
+    return [drawn[i * len(drawn) // parts] for i in range(1, parts)] if len(drawn) >= parts else drawn
+
+
+def rank_among(value: Column, ends: list[Column]) -> Column:
+    """The number of sorted boundaries at or below a value, by a tree of comparisons."""
+    if not ends:
+        return F.lit(0).cast("long")
+    middle = len(ends) // 2
+    above = rank_among(value, ends[middle + 1 :]) + (middle + 1)
+    return F.when(value >= ends[middle], above).otherwise(rank_among(value, ends[:middle]))
+
+
 def from_rows(df: DataFrame, order: list[str]) -> DataFrame:
-    """Any DataFrame as a carrier, ordered by columns: range-partitioned and sorted within partitions."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    return ranged.withColumn("part", F.spark_partition_id().cast("long")).withColumn("pos", F.monotonically_increasing_id())
+    """Any DataFrame as a carrier, ordered by columns: a task for each range of them, sorted.
+
+    Ranges and places depend on the rows alone, so every pass sees the same parts;
+    Spark's own range partitioning draws its boundaries anew each time.
+    """
+    ends = boundaries(df, order)
+    at = F.struct(*order)
+    parts = df.withColumn("part", rank_among(at, [place(e) for e in ends])).withColumn("pos", at)
+    return parts.repartitionById(len(ends) + 1, F.col("part").cast("int")).sortWithinPartitions("part", "pos")

@@ -31,7 +31,7 @@ from tabmend.sources import sqlitedb
 from tabmend.sources.columnar import parquet_schema, parquet_text, rows_at
 from tabmend.sources.files import read_cells
 from tabmend.sources.jsontext import json_columns, json_rows
-from tabmend.sources.lines import from_text
+from tabmend.sources.lines import from_text, open_delimited
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -106,9 +106,11 @@ def dirty_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cleaned_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same lines repaired, inferred and typed."""
-    options = Options(trailing_delimiter=True, trim='"')
-    opened = from_text(dirty_lineitem(spark, sf_dir), ["at"], options)
+    """The same lines written as a file, then repaired, inferred and typed."""
+    options = Options(trailing_delimiter=True, trim='"', encoding="utf-8")
+    path = str(folder(spark) / "lineitem.csv")
+    dirty_lineitem(spark, sf_dir).select("value").write.text(path)
+    opened = open_delimited(spark, path, options)
     kinds = infer_carrier_types(kept(guard(opened.carrier, opened.width, options)), opened.width)
     return typed(opened, kinds, options)
 
@@ -408,8 +410,6 @@ def csv_sink_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = str(folder(spark) / "o.csv")
     df = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
     file_sinks.write_csv(df, out, Options(delimiter=";"))
-    from tabmend.sources.lines import open_delimited
-
     return typed_all(open_delimited(spark, out, Options(delimiter=";")), [INT, TEXT, FLOAT], "c_custkey")
 
 

@@ -187,9 +187,9 @@ def assemble(lines: DataFrame, delimiter: str) -> DataFrame:
     counters = [c for c in lines.columns if c.startswith("n_")]
     several = placed.filter("inside or open").groupBy("record").agg(F.min(F.struct("pos", "part")).alias("first"), F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("all"), *(F.sum(c).cast("int").alias(c) for c in counters))
     several = several.select(F.col("first.part").alias("part"), F.col("first.pos").alias("pos"), F.array_join(F.transform("all", lambda x: x["value"]), "\n").alias("value"), *counters)
-    merged = single.unionByName(several.select(*lines.columns)).drop("part")
-    ordered = merged.repartitionByRange("pos").sortWithinPartitions("pos")
-    return ordered.withColumn("part", F.spark_partition_id().cast("long")).select(*lines.columns)
+    # a record stays in the part of its first line, and parts stay whole
+    merged = single.unionByName(several.select(*lines.columns))
+    return merged.repartition("part").sortWithinPartitions("part", "pos").select(*lines.columns)
 
 
 def split_quoted(text: str, delimiter: str) -> list[list[str]]:
