@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -150,9 +151,14 @@ def convert(spark: SparkSession, source: str, target_path: str, source_kind: str
         names = output_names(df.columns, options.columns)
         if confirm and not confirm(df.toDF(*names).limit(PREVIEW_ROWS)):
             return None
-        n = file_sinks.recode(spark, source, path, options, names)
+        # row groups and footer entries belong to a file; a folder's files are rewritten in parallel by Spark
+        exact = Path(source).is_file()
+        n = (file_sinks.recode_exact if exact else file_sinks.recode)(spark, source, path, options, names)
         return Outcome(path, Metrics(n), [])
     made = prepare(spark, source, source_kind, options, fold_names=target == "sqlite")
+    if options.count and kind == "sqlite":
+        found = sqlitedb.resolve(source, options.table)
+        print(f"{sqlitedb.row_count(source, found)} rows in table {found}")
     if confirm and not confirm(made.preview()):
         return None
     typed = options.infer_types if target == "parquet" else target == "sqlite" and options.sqlite_mode == "typed"

@@ -131,7 +131,7 @@ def _all_rows(path: str) -> Iterator[list[str]]:
     try:
         book = zipfile.ZipFile(path)
     except (zipfile.BadZipFile, FileNotFoundError) as error:
-        raise ConversionError(f"{path} is no .xlsx or .ods file: {error}") from None
+        raise ConversionError(f"{path} is no .xlsx or .ods file (the older binary .xls has to be saved as one of them): {error}") from None
     with book:
         yield from _ods_rows(book) if "content.xml" in book.namelist() else _xlsx_rows(book)
 

@@ -59,6 +59,14 @@ def columns(path: str, table: str) -> list[str]:
     return found
 
 
+def row_count(path: str, table: str) -> int:
+    db = connect(path)
+    try:
+        return db.execute(f"SELECT count(*) FROM {quoted(table)}").fetchone()[0]
+    finally:
+        db.close()
+
+
 def row_ranges(path: str, table: str, pieces: int) -> list[tuple[int | None, int | None]]:
     """Row id ranges [low, high) of about equal width; one open range for views and tables without row ids."""
     db = connect(path)

@@ -16,7 +16,7 @@ from tabmend.sinks.paths import output_path
 from tabmend.sinks.sqlitedb import batch_rows, load
 from tabmend.streaming.ingest import ingest_available
 
-DIRTY = 'id,price,active,zip\n1,9.5,true,007\n2,,FALSE,\nthree,1e3,maybe,x\n'
+DIRTY = 'stop,wait,open,zone\n12,0.75,FALSE,0B\n13,4,,\n-1,,True,x\nlast,1e-2,shut,\n'
 
 
 def source(tmp_path, text=DIRTY):
@@ -26,43 +26,47 @@ def source(tmp_path, text=DIRTY):
 
 
 def test_typed_sqlite(spark, tmp_path):
-    out = convert(spark, source(tmp_path), str(tmp_path / "o"), "csv", "sqlite", Options(sqlite_mode="typed", infer_rows=2, table="items"))
+    out = convert(spark, source(tmp_path), str(tmp_path / "o"), "csv", "sqlite", Options(sqlite_mode="typed", infer_rows=3, table="stops"))
     db = sqlite3.connect(out.path)
-    assert db.execute("SELECT * FROM items").fetchall() == [(1, 9.5, 1, "007"), (2, None, 0, ""), (None, 1000.0, None, "x")]
+    assert db.execute("SELECT * FROM stops").fetchall() == [(12, 0.75, 0, "0B"), (13, 4.0, None, ""), (-1, None, 1, "x"), (None, 0.01, None, "")]
+    assert [r[1:3] for r in db.execute("PRAGMA table_info(stops)")] == [("stop", "INTEGER"), ("wait", "REAL"), ("open", "INTEGER"), ("zone", "TEXT")]
     assert (out.metrics.mismatches, out.metrics.exit_code) == (2, 2)
-    assert not any("three" in m or "maybe" in m for m in out.messages)
+    assert not any("last" in m or "shut" in m for m in out.messages)
     with pytest.raises(sqlite3.IntegrityError):
-        db.execute("INSERT INTO items VALUES ('x', 1.0, 1, 'z')")
+        db.execute("INSERT INTO stops VALUES (1, 'far', 0, '')")
 
 
 def test_strict_misfit_names_row_and_column_only(spark, tmp_path):
-    with pytest.raises(ConversionError, match="row 2.*'n'") as error:
-        convert(spark, source(tmp_path, "n\n1\nsecret\n"), str(tmp_path / "o"), "csv", "parquet", Options(infer_types=True, infer_rows=1, strict=True))
-    assert "secret" not in str(error.value)
+    text = "town,size\n" + "".join(f"t{i},{i * 10}\n" for i in range(6)) + "u,hidden\n"
+    with pytest.raises(ConversionError, match="row 7.*'size'") as error:
+        convert(spark, source(tmp_path, text), str(tmp_path / "o"), "csv", "parquet", Options(infer_types=True, infer_rows=4, strict=True))
+    assert "hidden" not in str(error.value)
 
 
 def test_full_text_sqlite(spark, tmp_path):
-    convert(spark, source(tmp_path, "name,note\njohn smith,42\njane,\n"), str(tmp_path / "o"), "csv", "sqlite", Options(table="docs"))
+    text = "title,body\nHarbour,ships at anchor\nMill,\nHarbour mill,wheels\n"
+    convert(spark, source(tmp_path, text), str(tmp_path / "o"), "csv", "sqlite", Options(table="places"))
     db = sqlite3.connect(tmp_path / "o.db")
-    assert db.execute("SELECT * FROM docs WHERE docs MATCH 'smith'").fetchall() == [("john smith", "42")]
+    find = lambda q: [r[0] for r in db.execute("SELECT title FROM places WHERE places MATCH ? ORDER BY rowid", (q,))]
+    assert find("mill") == ["Mill", "Harbour mill"] and find("body:ships") == ["Harbour"] and find("anchor wheels") == []
 
 
 def test_bulk_load_restores_settings_and_replaces_whole_files(tmp_path):
     path = str(tmp_path / "x.db")
-    rows = [(f"word{i} common",) for i in range(3000)]
-    assert load(path, "my docs", ["body"], None, rows, batch=7) == 3000
-    db = sqlite3.connect(path)
-    assert db.execute("SELECT count(*) FROM \"my docs\" WHERE \"my docs\" MATCH 'common'").fetchone() == (3000,)
-    assert dict(db.execute('SELECT k, v FROM "my docs_config"'))["automerge"] == 4
-    load(path, "MY DOCS", ["body"], None, [("again",)])
-    assert sqlite3.connect(path).execute('SELECT count(*) FROM "my docs"').fetchone() == (3001,)
+    rows = [(f"entry {i}", "even" if i % 2 == 0 else "odd") for i in range(2345)]
+    assert load(path, "big list", ["a", "b"], None, rows, batch=100) == 2345
+    count = lambda where="": sqlite3.connect(path).execute(f'SELECT count(*) FROM "big list" {where}').fetchone()[0]
+    assert count("WHERE \"big list\" MATCH 'even'") == 1173
+    assert dict(sqlite3.connect(path).execute('SELECT k, v FROM "big list_config"'))["automerge"] == 4
+    load(path, "BIG list", ["a", "b"], None, [("more", "odd")])
+    assert count() == 2346
     with pytest.raises(sqlite3.Error):
-        load(path, "my docs", ["body"], None, [("a", "b")])
-    assert sqlite3.connect(path).execute('SELECT count(*) FROM "my docs"').fetchone() == (3001,)
-    names = [f"c{i}" for i in range(600)]
-    load(path, "wide", names, ["int"] * 600, [tuple([i] * 600) for i in range(200)])
-    assert sqlite3.connect(path).execute("SELECT count(*), sum(c599) FROM wide").fetchone() == (200, 19900)
-    assert batch_rows(600, 50_000) == 54
+        load(path, "big list", ["a", "b"], None, [("one", "two", "three")])
+    assert count() == 2346
+    names = [f"n{i}" for i in range(411)]
+    load(path, "broad", names, ["int"] * 411, [tuple(range(i, i + 411)) for i in range(150)])
+    assert sqlite3.connect(path).execute("SELECT count(*), sum(n410) FROM broad").fetchone() == (150, sum(range(410, 560)))
+    assert [batch_rows(n, 50_000) for n in (1, 411, 32_766)] == [32_766, 79, 1]
 
 
 def test_csv_and_parquet_round_trip(spark, tmp_path):
@@ -72,7 +76,7 @@ def test_csv_and_parquet_round_trip(spark, tmp_path):
     assert [tuple(r) for r in spark.read.parquet(out.path).orderBy("b").collect()] == [('x,"y"', 1), ("", 2)]
     for codec in ("brotli", "lz4", "gzip", "snappy", "none"):
         out = convert(spark, source(tmp_path), str(tmp_path / codec), "csv", "parquet", Options(codec=codec))
-        assert len(pq.read_table(out.path)) == 3
+        assert len(pq.read_table(out.path)) == 4
 
 
 def test_codecs_and_paths():
@@ -83,19 +87,49 @@ def test_codecs_and_paths():
     assert [output_path("x", "csv"), output_path("x.csv", "csv"), output_path("x.db", "sqlite")] == ["x.csv", "x.csv", "x.db.db"]
 
 
+def typed_table():
+    """Nulls, nested values and a decimal in row groups of uneven size."""
+    import decimal
+
+    n = 11
+    return pa.table({
+        "price": pa.array([None if i % 4 == 1 else decimal.Decimal(i) / 8 for i in range(n)], pa.decimal128(9, 3)),
+        "day": pa.array([None if i == 3 else i * 400 for i in range(n)], pa.date32()),
+        "path": pa.array([None if i % 5 == 2 else [None, f"p{i}"][: i % 3] for i in range(n)], pa.list_(pa.string())),
+        "at": pa.array([None if i == 7 else {"x": i, "y": None if i % 2 else i / 2} for i in range(n)], pa.struct([("x", pa.int32()), ("y", pa.float64())])),
+    }).replace_schema_metadata({"maker": "a test", "season": "autumn"})
+
+
 def test_exact_recode(spark, tmp_path):
-    table = pa.table({"id": pa.array([1, None, 3, 4, 5], pa.int64()), "name": ["a", None, "c", "d", "e"], "seen_at": pa.array([0, 1, None, 3, 4], pa.timestamp("us")), "tags": pa.array([[1], None, [], [None], [2, 3]], pa.list_(pa.int32()))})
-    table = table.replace_schema_metadata({"origin": "unit-test"})
-    src, dst = str(tmp_path / "a.parquet"), str(tmp_path / "b.parquet")
-    pq.write_table(table, src, row_group_size=3, compression="snappy")
-    assert recode_exact(spark, src, dst, Options()) == 5
-    file = pq.ParquetFile(dst)
-    assert [file.metadata.row_group(i).num_rows for i in range(2)] == [3, 2]
-    assert file.metadata.row_group(0).column(0).compression == "ZSTD"
-    assert file.schema_arrow.metadata[b"origin"] == b"unit-test"
-    assert file.read().equals(table)
-    out = convert(spark, src, str(tmp_path / "c"), "parquet", "parquet", Options(columns="a,b,c,d"))
-    assert spark.read.parquet(out.path).columns == ["a", "b", "c", "d"]
+    table, src, dst = typed_table(), str(tmp_path / "a.parquet"), str(tmp_path / "b.parquet")
+    pq.write_table(table, src, row_group_size=4, compression="gzip")
+    assert recode_exact(spark, src, dst, Options(codec="snappy")) == 11
+    for path in (dst, convert(spark, src, str(tmp_path / "c"), "parquet", "parquet", Options(codec="snappy")).path):
+        file = pq.ParquetFile(path)
+        assert [file.metadata.row_group(i).num_rows for i in range(file.num_row_groups)] == [4, 4, 3]
+        assert file.metadata.row_group(2).column(1).compression == "SNAPPY"
+        assert {k: file.schema_arrow.metadata[k] for k in (b"maker", b"season")} == {b"maker": b"a test", b"season": b"autumn"}
+        assert file.read().equals(table)
+    out = convert(spark, src, str(tmp_path / "d"), "parquet", "parquet", Options(columns="one,two,three,four"))
+    assert spark.read.parquet(out.path).columns == ["one", "two", "three", "four"]
+    with pytest.raises(ConversionError):
+        convert(spark, src, str(tmp_path / "e"), "parquet", "parquet", Options(columns="one,two"))
+    assert not (tmp_path / "e.parquet").exists()
+    pq.write_table(table.slice(0, 0), src)
+    assert pq.read_table(convert(spark, src, str(tmp_path / "f"), "parquet", "parquet", Options()).path).schema.equals(table.schema)
+
+
+def test_a_folder_is_recoded_by_its_files(spark, tmp_path):
+    spark.range(100).selectExpr("id", "id * 2 AS twice").repartition(4).write.parquet(str(tmp_path / "in"))
+    out = convert(spark, str(tmp_path / "in"), str(tmp_path / "o"), "parquet", "parquet", Options(codec="gzip"))
+    assert (out.metrics.rows, spark.read.parquet(out.path).count()) == (100, 100)
+
+
+def test_count_of_a_database(spark, tmp_path, capsys):
+    path = str(tmp_path / "n.db")
+    load(path, "main", ["k"], ["int"], [(i,) for i in range(321)])
+    assert main(["-i", path, "-f", "sqlite", "-t", "csv", "-o", str(tmp_path / "o"), "--count", "-y"], spark) == 0
+    assert "321 rows in table main" in capsys.readouterr().out
 
 
 def test_nothing_is_touched_without_consent(spark, tmp_path):
