@@ -2,13 +2,14 @@
 
 Four sources of evidence about a page's language are multiplied: the likelihood of
 its visible text under byte-trigram models, its declared markup language, its
-address's language mark (country suffix, first label or path part), and its host's
+address's language mark (path part, first label or country), and its host's
 prior. Trigram models are fitted on a bounded sample of labelled documents
 (`bound`). How far declarations and address marks can be trusted is counted from
 the pages themselves against the text's own best guess. Host priors are sums of
 the text's posteriors, one grouped aggregation for each level, smoothed from all
-pages to the registered domain to the host; hosts meet their prior through salted
-keys, so one that holds many pages spreads.
+pages to the registered domain to the host. A page's own posterior is left out of
+its prior, so that its text counts once. Hosts with more than 1 / HOT of all pages
+meet their prior through salted keys, so that they spread.
 
 Results in odd cases: a null or empty page, or one without letters, has flat text
 likelihood and is judged by its other evidence; a missing address has an empty
@@ -28,9 +29,18 @@ from pyspark.sql import types as T
 from tabmend.llm.common import materialize, small_batches
 
 #: Trigrams are hashed to 2^16; labelled documents to fit on; pseudo-pages of each prior's parent; parts of a host.
-BITS, BOUND, STRENGTH, SALTS = 16, 2000, 4.0, 32
+BITS, BOUND, STRENGTH, SALTS, HOT = 16, 2000, 4.0, 32, 500
 #: Trigrams of running text repeat each other's evidence; a text counts at most as this many.
 WEIGHT, MOST = 0.5, 400.0
+#: Languages of countries that mostly use one, by the country's suffix.
+COUNTRIES = {
+    "de": "de", "at": "de", "li": "de", "uk": "en", "us": "en", "au": "en", "nz": "en", "ie": "en", "fr": "fr", "mc": "fr", "sn": "fr",
+    "es": "es", "mx": "es", "ar": "es", "cl": "es", "pe": "es", "uy": "es", "ec": "es", "ve": "es", "bo": "es", "cr": "es", "it": "it",
+    "nl": "nl", "pt": "pt", "br": "pt", "pl": "pl", "ru": "ru", "ua": "uk", "cz": "cs", "sk": "sk", "hu": "hu", "ro": "ro", "bg": "bg",
+    "gr": "el", "tr": "tr", "se": "sv", "dk": "da", "no": "no", "fi": "fi", "jp": "ja", "kr": "ko", "cn": "zh", "tw": "zh", "vn": "vi", "th": "th", "ir": "fa", "il": "he",
+}
+#: Second labels under which countries register domains.
+SECOND = ["co", "com", "org", "net", "edu", "gov", "ac", "or", "ne", "go", "gob", "gouv", "nom", "asso", "gv", "ltd", "plc", "sch", "mil"]
 TAGS = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>|&[a-z#0-9]+;"
 
 
@@ -82,8 +92,10 @@ def host_of(url: Column) -> Column:
 
 
 def domain_of(host: Column) -> Column:
-    """The last two labels of a host."""
-    return F.substring_index(host, ".", -2)
+    """The registered domain: the last two labels, or three where a country registers under second labels."""
+    second = F.substring_index(F.substring_index(host, ".", -2), ".", 1)
+    country = F.length(F.substring_index(host, ".", -1)) == 2
+    return F.when(country & second.isin(SECOND), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
 def declared_language(html: Column) -> Column:
@@ -92,10 +104,11 @@ def declared_language(html: Column) -> Column:
 
 
 def address_mark(url: Column, langs: list[str]) -> Column:
-    """The language code that ends a host (.de), starts it (de.) or starts the path (/de/)."""
+    """The language code that starts the path (/de/) or the host (de.), or the language of the country that ends it (.at)."""
     host = host_of(url)
     path = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*/([a-zA-Z]{2})(?:[-_][a-zA-Z]{2})?(?:[/?#]|$)", 1))
-    places = [path, F.substring_index(host, ".", 1), F.substring_index(host, ".", -1)]
+    country = F.try_element_at(F.create_map(*(F.lit(x) for pair in COUNTRIES.items() for x in pair)), F.substring_index(host, ".", -1))
+    places = [path, F.substring_index(host, ".", 1), country]
     return F.coalesce(*(F.when(p.isin(langs), p) for p in places), F.lit("")) if langs else F.lit("")
 
 
@@ -144,17 +157,24 @@ def languages(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_co
     rows = rows.withColumn("own", _softmax(F.col("text_log"))).withColumn("domain", domain_of(F.col("host")))
     rows = materialize(rows)
     trust = {kind: _trust(rows, kind, langs) for kind in ("declared", "mark")}
-    everyone = rows.agg(_sum_vectors("own", n).alias("v")).first()["v"]
-    total = np.array([x or 0.0 for x in everyone]) + 1.0
+    everyone = rows.agg(_sum_vectors("own", n).alias("v"), F.count("*").alias("pages")).first()
+    total = np.array([x or 0.0 for x in everyone["v"]]) + 1.0
     world = F.array(*(F.lit(float(x)) for x in total / total.sum()))
-    hosts = rows.groupBy("domain", "host").agg(_sum_vectors("own", n).alias("v"))
-    domains = hosts.groupBy("domain").agg(_sum_vectors("v", n).alias("v"))
-    smoothed = lambda v, parent: F.zip_with(v, parent, lambda x, p: (x + STRENGTH * p) / (F.aggregate(v, F.lit(0.0), lambda a, y: a + y) + STRENGTH))
-    domains = domains.select("domain", smoothed(F.col("v"), world).alias("domain_prior"))
-    priors = hosts.join(domains, "domain").select("host", smoothed(F.col("v"), F.col("domain_prior")).alias("prior"))
-    priors = priors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    both = salted.join(priors, ["host", "salt"])
+    hosts = rows.groupBy("domain", "host").agg(_sum_vectors("own", n).alias("host_v"), F.count("*").alias("pages"))
+    hosts = materialize(hosts)
+    domains = hosts.groupBy("domain").agg(_sum_vectors("host_v", n).alias("domain_v"))
+    hot = [r["host"] for r in hosts.filter(F.col("pages") * HOT > everyone["pages"]).select("host").collect()]  # fewer than HOT
+    spread = lambda salt: F.when(F.col("host").isin(hot), salt)
+    sums = hosts.join(domains, "domain").select("host", "host_v", "domain_v")
+    sums = sums.withColumn("salt", F.explode(spread(F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    salted = rows.withColumn("salt", spread(F.pmod(F.xxhash64("id", "text_log"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+    both = salted.join(sums, ["host", "salt"])
+
+    def smoothed(v: str, parent: Column) -> Column:
+        rest = F.zip_with(v, "own", lambda x, y: F.greatest(x - y, F.lit(0.0)))
+        return F.zip_with(rest, parent, lambda x, p: (x + STRENGTH * p) / (F.aggregate(rest, F.lit(0.0), lambda a, y: a + y) + STRENGTH))
+
+    both = both.withColumn("domain_prior", smoothed("domain_v", world)).withColumn("prior", smoothed("host_v", F.col("domain_prior")))
     evidence = [F.col("text_log"), F.transform("prior", lambda p: F.log(p))]
     for kind, rows_of in trust.items():
         logs = F.create_map(*(x for code, v in rows_of.items() for x in (F.lit(code), F.array(*(F.lit(float(y)) for y in v)))))

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import textwrap
@@ -7,6 +8,7 @@ import pytest
 
 from tabmend.llm import licences
 from tabmend.llm.decontam import contaminated, decontaminated
+from tabmend.llm import langid
 from tabmend.llm.langid import languages
 from tabmend.llm.omh import order_minhash
 from tabmend.llm.queries import op8_order_minhash
@@ -189,6 +191,57 @@ def test_licence_tables_and_odd_rows(spark, make_docs, odd_rows):
 DOCS = {"en": "the cat and the dog with this that", "de": "der hund und die katze mit nicht auch", "fr": "le chien et la chatte avec une dans"}
 
 
+def softmax(logs):
+    most = max(logs)
+    each = [math.exp(x - most) for x in logs]
+    return [x / sum(each) for x in each]
+
+
+def test_languages_equal_brute_force(spark):
+    rng = random.Random(11)
+    docs = spark.createDataFrame([(i, (DOCS[lang] + " ") * 5, lang) for i, lang in enumerate(list(DOCS) * 4)], "doc_id long, text string, lang string")
+    langs, table = langid.text_models(docs, 2000, "doc_id", "text", "lang")
+    hosts = ["a.example.co.uk", "b.example.co.uk", "other.co.uk", "shop.at", "de.site.org", "site.org", "x.site.org", ""]
+    domain = {"a.example.co.uk": "example.co.uk", "b.example.co.uk": "example.co.uk", "other.co.uk": "other.co.uk", "shop.at": "shop.at", "de.site.org": "site.org", "site.org": "site.org", "x.site.org": "site.org", "": ""}
+    mark_of = lambda host, path: path or ({"de": "de"}.get(host.split(".")[0]) or {"uk": "en", "at": "de"}.get(host.split(".")[-1], ""))
+    rows = []
+    for i in range(150):
+        host, path, declared = rng.choice(hosts[:3] if i % 3 else hosts), rng.choice(["", "", "fr"]), rng.choice(["", "", "de", "en", "zz"])
+        text = " ".join(rng.choice(DOCS[rng.choice(langs)].split()) for _ in range(rng.choice([0, 1, 2, 9])))
+        rows.append((i, host, path, declared, text))
+    rows.append(rows[3])
+    pages = [(i, f"http://{h}/{p + '/' if p else ''}x1" if h else None, f'<html lang="{d}"><p>{t}</p>') for i, h, p, d, t in rows]
+    out = {r["page_id"]: r for r in languages(spark.createDataFrame(pages, "page_id long, url string, html string"), docs).collect()}
+
+    own, evidence = [], []
+    for _, h, p, d, t in rows:
+        grams = langid.trigrams(" " + t)
+        mean = table[grams].mean(0) if len(grams) else [0.0] * len(langs)
+        logs = [(x - max(mean)) * min(langid.MOST, langid.WEIGHT * len(grams)) for x in mean]
+        own.append(softmax(logs))
+        evidence.append((logs, d if d in langs else "", (mark_of(h, p) if h else "")))
+    trust = []
+    for kind in (1, 2):
+        counts = {code: [0.5 + (0.5 if code == x else 0) for x in langs] for code in ["", *langs]}
+        for e, o in zip(evidence, own, strict=True):
+            counts[e[kind]] = [a + b for a, b in zip(counts[e[kind]], o, strict=True)]
+        trust.append({c: [math.log(v[i] / sum(x[i] for x in counts.values())) for i in range(len(langs))] for c, v in counts.items()})
+    world = [1 + sum(o[i] for o in own) for i in range(len(langs))]
+    world = [x / sum(world) for x in world]
+
+    def prior(at, key, parent):
+        rest = [sum(o[i] for j, o in enumerate(own) if j != at and key(rows[j]) == key(rows[at])) for i in range(len(langs))]
+        return [(x + langid.STRENGTH * p) / (sum(rest) + langid.STRENGTH) for x, p in zip(rest, parent, strict=True)]
+
+    for at, (i, *_) in enumerate(rows):
+        of = prior(at, lambda r: r[1], prior(at, lambda r: domain[r[1]], world))
+        logs, d, m = evidence[at]
+        posterior = softmax([x + math.log(p) + a + b for x, p, a, b in zip(logs, of, trust[0][d], trust[1][m], strict=True)])
+        assert out[i]["probability"] == pytest.approx(max(posterior), abs=1e-9)
+        assert out[i]["lang"] == langs[posterior.index(max(posterior))]
+        assert (out[i]["declared"], out[i]["mark"]) == (d, m)
+
+
 def test_languages(spark, make_docs):
     docs = spark.createDataFrame([(i, (DOCS[lang] + " ") * 5, lang) for i, lang in enumerate(list(DOCS) * 4)], "doc_id long, text string, lang string")
     page = lambda lang, text, declared: f"<html lang=\"{declared}\"><script>the the the</script><p>{text}</p></html>"
