@@ -30,8 +30,8 @@ from tabmend.llm.common import materialize, small_batches
 
 #: Tail lengths that share a row of the linear program.
 WIDTH = 8
-#: Parts in which the tails of a class are ranked.
-PARTS = 32
+#: Parts in which the pieces of a class are ranked, at least, and rows for which there is a part.
+PARTS, PART_ROWS = 32, 500_000
 
 
 def byte_pair_encoder(path: str):
@@ -189,9 +189,13 @@ def pack(df: DataFrame, make, length: int = 2048, close: int = 1, id_col: str =
     pieces = rows.mapInArrow(_pieces(make, length, close), shape)
     top = length // WIDTH + 1
     kind = F.when(F.col("length") == length, F.lit(top)).otherwise(F.floor((F.col("length") + WIDTH - 1) / WIDTH))
-    part: Column = F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(PARTS)).cast("int")
-    pieces = materialize(pieces.withColumn("kind", kind.cast("long")).withColumn("part", part))
-    counts = pieces.groupBy("kind", "part").count().toArrow().to_pylist()  # at most top * PARTS rows
+    pieces = materialize(pieces.withColumn("kind", kind.cast("long")))
+    sizes = {r["kind"]: r["count"] for r in pieces.groupBy("kind").count().collect()}  # at most top rows
+    # full sequences are most of a large corpus and get parts of their own number
+    full, tails = (max(PARTS, -(-max(n, default=0) // PART_ROWS)) for n in ([v for k, v in sizes.items() if k == top], [v for k, v in sizes.items() if k != top]))
+    part: Column = F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.when(F.col("kind") == top, full).otherwise(tails)).cast("int")
+    pieces = pieces.withColumn("part", part)
+    counts = pieces.groupBy("kind", "part").count().toArrow().to_pylist()  # at most full + top * tails rows
     before: dict[tuple[int, int], int] = {}
     total: dict[int, int] = {}
     for x in sorted(counts, key=lambda x: (x["kind"], x["part"])):
