@@ -287,20 +287,23 @@ def _roots(spark, rows: DataFrame, buckets: DataFrame, percent: int, k: int) ->
             state, bounded = _torn(state), True
         if state.isEmpty():
             return roots
-        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("links"), "node"))
-        ranked = state.withColumn("rank", rank)
-        chosen = ranked.filter(F.col("rank") <= centres).select("key", *(F.col(c).alias(f"c_{c}") for c in ("node", "n", "root", "rank", "common", "keys", "map")))
+        # members take turns in this order, those with most links first; the window needs only each bucket's first ones
+        ordered = state.withColumn("turn", F.struct((-F.col("links")).alias("less"), "node"))
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("turn"))
+        chosen = ordered.withColumn("rank", rank).filter(F.col("rank") <= centres)
+        chosen = materialize(chosen.select("key", *(F.col(c).alias(f"c_{c}") for c in ("node", "n", "root", "turn", "common", "keys", "map"))))
         # 100 common >= percent (n + m - common), for each bound of what is common; the dear ones last
         least = (F.col("n") + F.col("c_n")) * percent
         able = lambda common: common * (100 + percent) >= least
-        could = (F.col("c_root") != F.col("root")) & (F.col("rank") > F.col("c_rank")) & able(F.col("common")) & able(F.col("c_common"))
+        could = (F.col("c_root") != F.col("root")) & (F.col("turn") > F.col("c_turn")) & able(F.col("common")) & able(F.col("c_common"))
         near = able(F.col("n") - _apart("map", "c_map")) & able(F.col("c_n") - _apart("c_map", "map"))
         # a pair that shares several buckets is left to the one of the least key
         here = F.array_min(F.array_intersect("keys", "c_keys")) == F.col("key")
-        more = ranked.join(chosen, "key").filter(could & here & near)
+        more = ordered.join(chosen, "key").filter(could & here & near)
         more = more.select(F.least("c_node", "node").alias("a"), F.greatest("c_node", "node").alias("b")).distinct()
         links = materialize(links.unionByName(confirmed(more, sets, percent)))
-        open_rows = materialize(ranked.filter(F.col("rank") > centres).select("key", "node", "n", "common", "keys", "map"))
+        last = chosen.groupBy("key").agg(F.max("c_turn").alias("last"))
+        open_rows = materialize(ordered.join(last, "key").filter(F.col("turn") > F.col("last")).select("key", "node", "n", "common", "keys", "map"))
         centres *= MORE
 
 
