@@ -21,7 +21,7 @@ from tabmend.sinks.paths import output_path, require_distinct
 from tabmend.sinks.sqlitedb import write_sqlite
 from tabmend.sources import sheet, sqldump, sqlitedb
 from tabmend.sources.columnar import parquet_text
-from tabmend.sources.files import read_cells
+from tabmend.sources.files import ROW_BITS, first_file, read_cells
 from tabmend.sources.jsontext import open_json
 from tabmend.sources.lines import Delimited, open_delimited
 
@@ -45,14 +45,14 @@ def open_source(spark: SparkSession, path: str, name: str, options: Options) ->
     if kind == "parquet":
         return Delimited(*parquet_text(spark, path)), table
     if kind == "sql":
-        found, names = sqldump.schema(path, options.table or "")
+        found, names = sqldump.schema(first_file(spark, path), options.table or "")
         return Delimited(names, read_cells(spark, "sql", path, found)), options.table or found
     if kind == "sqlite":
         found = sqlitedb.resolve(path, options.table)
         return Delimited(sqlitedb.columns(path, found), read_cells(spark, "sqlite", sqlitedb.database(path), found)), table
-    names = sheet.header(path, options.no_headers)
+    names = sheet.header(first_file(spark, path), options.no_headers)
     rows = read_cells(spark, "sheet", path)
-    return Delimited(names, rows if options.no_headers else rows.filter("pos > 0")), table
+    return Delimited(names, rows if options.no_headers else rows.filter(F.col("pos") % (1 << ROW_BITS) > 0)), table
 
 
 @dataclass

@@ -1,17 +1,68 @@
-"""Files that only a program can split: a Python data source with one partition for each file, or more where it can.
+"""Files that only a program can split: a task for each file, or more where it can.
 
-Reading is streamed; nothing but a bounded buffer is held. Rows come as
-(part, pos, cells), in the file's order.
+Files that every machine can open are read by a Python data source, which streams
+them; nothing but a bounded buffer is held. Files in other stores come through
+Spark, whole, to a task's own temporary file. Rows come as (part, pos, cells): a
+part for each file, in the order of names, and the file's own order.
 """
 
 from __future__ import annotations
 
+import json
+import tempfile
+from collections.abc import Iterator
+from pathlib import Path
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tabmend.sources import jsonsplit, sheet, sqldump, sqlitedb
 
 SCHEMA = "part long, pos long, cells array<string>"
+#: Bits of a place that number a file's rows; rows that a task passes on at once.
+ROW_BITS, ROWS = 40, 1000
+
+
+def is_local(path: str) -> bool:
+    return path.startswith("file:") or "://" not in path
+
+
+def plain(path: str) -> str:
+    """A local path without its scheme."""
+    return path.removeprefix("file:").replace("///", "/", 1) if path.startswith("file:") else path
+
+
+def input_files(spark: SparkSession, path: str) -> list[str]:
+    """A file, or the files of a folder by name, through Spark's file systems."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where) or not fs.getFileStatus(where).isDirectory():
+        return [path]  # readers say what is wrong with it
+    inside = sorted(str(s.getPath()) for s in fs.listStatus(where) if s.isFile() and not s.getPath().getName().startswith(("_", ".")))
+    return [plain(x) if is_local(path) else x for x in inside]
+
+
+def first_file(spark: SparkSession, path: str) -> str:
+    """A path by which the driver can open the first file; one in another store is copied."""
+    first = (input_files(spark, path) or [path])[0]
+    if is_local(first):
+        return plain(first)
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(first)
+    copy = f"{tempfile.mkdtemp(prefix='tabmend-')}/{where.getName()}"
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyToLocalFile(where, jvm.org.apache.hadoop.fs.Path(copy))
+    return copy
+
+
+def rows_of(kind: str, path: str, table: str) -> Iterator[list[str]]:
+    if kind == "sql":
+        return sqldump.rows(path, table)
+    if kind == "sheet":
+        return sheet.rows(path)
+    return ([value] for value in jsonsplit.values(path))
 
 
 class _Piece(InputPartition):
@@ -29,20 +80,16 @@ class _Reader(DataSourceReader):
         if kind == "sqlite":
             ranges = sqlitedb.row_ranges(path, self.options["table"], int(self.options.get("pieces", "8")))
             return [_Piece(i, {"low": low, "high": high}) for i, (low, high) in enumerate(ranges)]
-        return [_Piece(0, {})]
+        return [_Piece(i, {"path": x}) for i, x in enumerate(json.loads(path))]
 
     def read(self, piece: _Piece):
         kind, path = self.options["kind"], self.options["path"]
         if kind == "sqlite":
             rows = sqlitedb.rows(path, self.options["table"], piece.args["low"], piece.args["high"])
-        elif kind == "sql":
-            rows = sqldump.rows(path, self.options["table"])
-        elif kind == "sheet":
-            rows = sheet.rows(path)
         else:
-            rows = ([value] for value in jsonsplit.values(path))
+            rows = rows_of(kind, piece.args["path"], self.options["table"])
         for i, cells in enumerate(rows):
-            yield (piece.part, (piece.part << 40) + i, cells)
+            yield (piece.part, (piece.part << ROW_BITS) + i, cells)
 
 
 class CellFiles(DataSource):
@@ -58,5 +105,37 @@ class CellFiles(DataSource):
 
 
 def read_cells(spark: SparkSession, kind: str, path: str, table: str = "", pieces: int = 8) -> DataFrame:
+    if kind != "sqlite":
+        files = input_files(spark, path)
+        if not all(map(is_local, files)):
+            return _through_spark(spark, kind, files, table)
+        path = json.dumps([plain(x) for x in files])
     spark.dataSource.register(CellFiles)
     return spark.read.format("tabmend_cells").options(kind=kind, path=path, table=table, pieces=str(pieces)).load()
+
+
+def _through_spark(spark: SparkSession, kind: str, files: list[str], table: str) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for part, content in zip(batch.column("part").to_pylist(), batch.column("content"), strict=True):
+                with tempfile.TemporaryDirectory() as own:
+                    path = Path(own) / "input"
+                    path.write_bytes(content.as_buffer())
+                    held: list[list[str]] = []
+                    at = part << ROW_BITS
+                    for cells in rows_of(kind, str(path), table):
+                        held.append(cells)
+                        if len(held) == ROWS:
+                            yield _batch(part, at, held)
+                            held, at = [], at + ROWS
+                    if held:
+                        yield _batch(part, at, held)
+
+    parts = spark.createDataFrame([(i, x.rpartition("/")[2]) for i, x in enumerate(files)], "part long, name string")
+    whole = spark.read.format("binaryFile").load(files).select(F.substring_index("path", "/", -1).alias("name"), "content").join(F.broadcast(parts), "name")
+    return whole.select("part", "content").repartition(len(files), "part").mapInArrow(run, SCHEMA)
+
+
+def _batch(part: int, at: int, rows: list[list[str]]) -> pa.RecordBatch:
+    n = len(rows)
+    return pa.record_batch([pa.array([part] * n, pa.int64()), pa.array(range(at, at + n), pa.int64()), pa.array(rows, pa.list_(pa.string()))], ["part", "pos", "cells"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tabmend.operators.carrier import with_order
 from tabmend.options import ConversionError
 from tabmend.sources import jsonsplit
-from tabmend.sources.files import read_cells
+from tabmend.sources.files import first_file, read_cells
 from tabmend.sources.lines import Delimited
 
 
@@ -18,7 +18,7 @@ def json_values(spark: SparkSession, path: str) -> DataFrame:
     Files with one value on each line are split by Spark; arrays and values that
     share or span lines go through the splitter, a task for each file.
     """
-    if jsonsplit.shape(path) == "stream":
+    if jsonsplit.shape(first_file(spark, path)) == "stream":
         lines = with_order(spark.read.option("lineSep", "\n").text(path)).filter(F.trim(F.translate("value", "\r\t", "  ")) != "")
         if lines.filter(F.try_parse_json("value").isNull()).isEmpty():
             return lines

@@ -142,3 +142,23 @@ def test_dump_query_reads_back_every_order(spark, tmp_path):
 
     out = QUERIES["sqldump_orders"](spark, str(tmp_path)).collect()
     assert sorted((int(r["k"]), r["p"], float(r["t"])) for r in out) == rows
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_folders_are_read_file_by_file(spark, tmp_path, monkeypatch, local):
+    if not local:  # as if only Spark could read them
+        monkeypatch.setattr("tabmend.sources.files.is_local", lambda path: "/copy" in path)
+        monkeypatch.setattr("tabmend.sources.files.tempfile.mkdtemp", lambda prefix: str(tmp_path / "copy"))
+        (tmp_path / "copy").mkdir()
+    for kind in ("json", "sql", "ods"):
+        (tmp_path / kind).mkdir()
+    for i in range(3):
+        (tmp_path / "json" / f"{i}.json").write_text("[" + ", ".join(f'{{"a": {i * 2000 + j}}}' for j in range(2000)) + "]")
+        (tmp_path / "sql" / f"{i}.sql").write_text(f"INSERT INTO t (a, b) VALUES ({i}, 'x{i}'), ({i}, NULL);")
+        cells = "".join(f"<table-row><table-cell><p>{x}</p></table-cell></table-row>" for x in ("head", f"r{i}", f"s{i}"))
+        with zipfile.ZipFile(tmp_path / "ods" / f"{i}.ods", "w") as z:
+            z.writestr("content.xml", f"<document><table>{cells}</table></document>")
+    read = lambda kind: opened(spark, tmp_path / kind, kind)[1]
+    assert read("json") == [[str(i)] for i in range(6000)]
+    assert read("sql") == [[str(i), x] for i in range(3) for x in (f"x{i}", "")]
+    assert read("ods") == [[f"{x}{i}"] for i in range(3) for x in "rs"]
