@@ -32,10 +32,16 @@ def with_order(df: DataFrame) -> DataFrame:
     order = Window.orderBy("_file", "_block")
     before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     table = splits.select("_file", "_block", "_least", before.alias("_before"), (F.row_number().over(order) - 1).cast("long").alias("part"))
-    joined = keyed.join(by_part_size(table), ["_file", "_block"])
+    joined = keyed.join(counted_once(table), ["_file", "_block"])
     return joined.withColumn("pos", F.col("_before") + F.col("_id") - F.col("_least")).drop("_file", "_block", "_id", "_least", "_before")
 
 
+def counted_once(table: DataFrame) -> DataFrame:
+    """A table of parts as rows that the plans of all later passes hold, so that none of them counts again; only where they are few."""
+    got = table.limit(BROADCAST_PARTS + 1).collect()
+    return F.broadcast(table.sparkSession.createDataFrame(got, table.schema)) if len(got) <= BROADCAST_PARTS else table
+
+
 def by_part_size(table: DataFrame) -> DataFrame:
     """A table of parts, broadcast only where they are few."""
     return F.broadcast(table) if table.limit(BROADCAST_PARTS + 1).count() <= BROADCAST_PARTS else table
@@ -70,7 +76,10 @@ def first_rows(carrier: DataFrame, n: int) -> DataFrame:
         line, kind = line.getField(kind.names[0]), kind.fields[0].dataType
     if isinstance(kind, T.LongType):
         prefix = carrier.filter((line < 2 * n + SPARE) | line.isNull())
-        if prefix.limit(n).count() >= n:
+        if n == 1:
+            if got := prefix.orderBy("pos").limit(1).collect():
+                return carrier.sparkSession.createDataFrame(got, carrier.schema)
+        elif prefix.limit(n).count() >= n:
             carrier = prefix
     return carrier.orderBy("pos").limit(n)
 
