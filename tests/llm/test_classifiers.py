@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from tabmend.llm.queries import op1_toxicity_fm, op5_quality_nbsvm
 from tabmend.llm.quality import NaiveBayesSupportVectors, ngram_features, quality_scores
 from tabmend.llm.toxicity import FactorizationMachine, decided, term_features, toxicity_scores
 
@@ -85,3 +86,29 @@ def test_odd_rows_and_repeatable_scores(spark, make_docs, odd_rows, scores, labe
     assert set(docs.columns) < set(out.columns)
     assert scores(make_docs([]), docs, labels).collect() == []
     assert len(scores(docs, docs, labels.limit(0)).collect()) == len(odd_rows)
+
+
+@pytest.mark.parametrize(
+    ("query", "make", "model", "label", "threshold"),
+    [(op1_toxicity_fm, term_features, FactorizationMachine, "toxic", 0.3), (op5_quality_nbsvm, ngram_features, NaiveBayesSupportVectors, "quality", 0.7)],
+)
+def test_queries_equal_a_plain_fit_and_tell_held_out_texts(spark, tmp_path, fold, query, make, model, label, threshold):
+    texts, y = labelled(500, "insul")
+    if label == "quality":
+        y = 1 - y
+        texts = [t if good else " ".join(f"{w}$$" for w in t.split()) for t, good in zip(texts, y, strict=True)]
+    docs = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(900, None, None, None, None), (901, "", "en", "s", 0)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    marks = [(i, int(v), int(v)) for i, v in enumerate(y)] + [(5000 + i, 1, 1) for i in range(50)]  # labels of documents that aren't there
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = {r["doc_id"]: r for r in query(spark, str(tmp_path)).collect()}
+    assert len(out) == len(docs)
+
+    features = make()
+    sample = sorted((int(y[i]), features(t).tobytes()) for i, t in enumerate(texts) if fold(i, 4) != 2)
+    plain = model().fit(np.array([v for v, _ in sample], np.int8), [np.frombuffer(x, np.int32) for _, x in sample])
+    for i, text, *_ in docs:
+        assert out[i]["score"] == pytest.approx(plain.score(features(text or "")), abs=1e-12)
+        assert (out[i]["held_out"], out[i]["predicted"]) == (fold(i, 4) == 2, int(out[i]["score"] >= threshold))
+    held = [i for i in range(len(texts)) if fold(i, 4) == 2]
+    assert np.mean([out[i]["predicted"] == y[i] for i in held]) > 0.97
