@@ -53,9 +53,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def folder(spark: SparkSession) -> Path:
-    """A folder for outputs: the shared one of a cluster, or else a temporary one."""
+    """A folder for outputs: the shared one of a cluster, or else, where all runs on this machine, a temporary one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     base = Path(shared.removeprefix("file://").removeprefix("file:")) if shared and "://" not in shared.removeprefix("file://") else None
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if base is not None:
         base.mkdir(parents=True, exist_ok=True)
     return Path(tempfile.mkdtemp(prefix="tabmend-", dir=base))

@@ -41,6 +41,8 @@ def write_parquet(df: DataFrame, path: str, options: Options) -> None:
     """Row groups of at most options.row_group rows, by Spark's writer; brotli by pyarrow in the same tasks."""
     codec, level = codec_level(options.codec, options.level)
     if codec == "brotli":
+        if "://" in path:
+            raise ConversionError(f"brotli files need a path that every machine can open, not {path}")
         _write_brotli(df, path, options.row_group, level)
         return
     writer = (df.coalesce(1) if options.single_file else df).write.mode("overwrite").option("compression", _SPARK_CODECS[codec])
