@@ -40,11 +40,13 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--count", action="store_true", default=None)
     p.add_argument("--doctor", action="store_true")
     p.add_argument("--no-auto-fix", action="store_true")
+    p.add_argument("--progress", action="store_true", help="show Spark's job progress")
+    p.add_argument("--log-level", choices=["ERROR", "WARN", "INFO", "DEBUG"], default="WARN")
     p.add_argument("-y", "--yes", action="store_true", help="do not ask after the preview")
     return p
 
 
-_OWN = {"input", "output", "format", "target", "doctor", "no_auto_fix", "yes"}
+_OWN = {"input", "output", "format", "target", "doctor", "no_auto_fix", "progress", "log_level", "yes"}
 
 
 def options_of(args: argparse.Namespace) -> Options:
@@ -63,7 +65,8 @@ def main(argv: list[str] | None = None, spark=None, ask=input) -> int:
 
     try:
         options = options_of(args)
-        spark = spark or SparkSession.builder.appName("tabmend").getOrCreate()
+        spark = spark or SparkSession.builder.appName("tabmend").config("spark.ui.showConsoleProgress", str(args.progress).lower()).getOrCreate()
+        spark.sparkContext.setLogLevel(args.log_level)
         if args.doctor:
             report = examine(spark, args.input, options)
             for f in report.findings:

@@ -187,7 +187,9 @@ def test_command_line(spark, tmp_path, capsys):
     path = source(tmp_path, "a;b\n1;x\n2;y;z\n")
     assert main(["-i", path, "-o", str(tmp_path / "o"), "-t", "parquet", "-y"], spark) == 2
     assert spark.read.parquet(str(tmp_path / "o.parquet")).columns == ["a", "b"]
-    assert main(["-i", path, "--doctor"], spark) == 0
+    assert main(["-i", path, "--doctor", "--log-level", "ERROR"], spark) == 0
+    with pytest.raises(SystemExit):
+        main(["-i", path, "--log-level", "LOUD"], spark)
     assert main(["-i", path, "-o", str(tmp_path / "n"), "-t", "csv"], spark, ask=lambda _: "n") == 0
     assert main(["-i", path, "-t", "nope"], spark) == 1
     capsys.readouterr()
