@@ -28,11 +28,13 @@ from pyspark.sql import types as T
 
 from tabmend.llm.common import TokenHasher, materialize, mix, sequence_keys, shingle_hashes, small_batches
 
-#: At 85 % similarity the chance that no band agrees is (1 - 0.85^5)^25, below one in a million.
+#: The chance that no band agrees is (1 - 0.8^5)^25 at 80 % similarity, 5 in 100,000, and below one in a million at 85 %.
 BIN_BITS, BANDS, ROWS = 7, 25, 5
 BINS = 1 << BIN_BITS
 #: Further centres of an open bucket in the second round; MORE times as many in each later one.
 CENTRES, MORE = 16, 16
+#: Ranks up to this one Spark keeps ahead of the shuffle by itself; beyond, a bucket is ranked in PARTS parts first.
+PUSHED, PARTS = 1000, 64
 #: Bits of the filter that spares nodes outside every bucket from having their sets moved.
 FILTER_BITS = 1 << 25
 #: Words of 64 bits in the bitmap of an open node's shingles.
@@ -237,7 +239,7 @@ def _near_size(percent: int, x: str, y: str):
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, k: int = 5) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, k: int = 5) -> DataFrame:
     """One row per row of df: id, n_shingles, component_id, kept, text_hash, group. percent: the least similarity of a link.
 
     text_hash is the text's xxhash64; group is equal for the rows of a component, null for those without words.
@@ -289,8 +291,7 @@ def _roots(spark, rows: DataFrame, buckets: DataFrame, percent: int, k: int) ->
             return roots
         # members take turns in this order, those with most links first; the window needs only each bucket's first ones
         ordered = state.withColumn("turn", F.struct((-F.col("links")).alias("less"), "node"))
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("turn"))
-        chosen = ordered.withColumn("rank", rank).filter(F.col("rank") <= centres)
+        chosen = least_turns(ordered, centres)
         chosen = materialize(chosen.select("key", *(F.col(c).alias(f"c_{c}") for c in ("node", "n", "root", "turn", "common", "keys", "map"))))
         # 100 common >= percent (n + m - common), for each bound of what is common; the dear ones last
         least = (F.col("n") + F.col("c_n")) * percent
@@ -307,6 +308,16 @@ def _roots(spark, rows: DataFrame, buckets: DataFrame, percent: int, k: int) ->
         centres *= MORE
 
 
+def least_turns(members: DataFrame, most: int, pushed: int | None = None) -> DataFrame:
+    """The `most` members of least turn of each bucket (key), without a task that sorts a whole bucket."""
+    if most > (PUSHED if pushed is None else pushed):
+        members = members.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)))
+        part = F.row_number().over(Window.partitionBy("key", "part").orderBy("turn"))
+        members = members.withColumn("rank", part).filter(F.col("rank") <= most).drop("part", "rank")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("turn"))
+    return members.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
+
+
 def _torn(state: DataFrame) -> DataFrame:
     """The rows of buckets whose rows lie in more than one component."""
     torn = state.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")

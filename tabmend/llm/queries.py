@@ -50,7 +50,7 @@ def op5_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents")).drop("text_hash", "group")
+    return near_duplicates(read(spark, sf_dir, "documents"), percent=85).drop("text_hash", "group")
 
 
 def op7_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

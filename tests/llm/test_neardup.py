@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from tabmend.llm import neardup
 from tabmend.llm.common import TokenHasher, shingle_hashes
 from tabmend.llm.neardup import BANDS, band_keys, components, densify, donors, near_duplicates
 
@@ -17,7 +18,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
 
 
-def brute_force(rows):
+def brute_force(rows, percent=85):
     """Component id of each row: least id reachable over exact links."""
     sets = [shingles(t) for _, t in rows]
     parent = list(range(len(rows)))
@@ -31,7 +32,7 @@ def brute_force(rows):
         for b in range(a):
             if sets[a] and sets[b]:
                 both = len(sets[a] & sets[b])
-                if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                     parent[find(a)] = find(b)
     least = defaultdict(list)
     for i, (key, _) in enumerate(rows):
@@ -50,8 +51,8 @@ def edited(rng, words, n):
     return words
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_groups_of_near_copies_equal_brute_force(spark, make_docs, seed):
+@pytest.mark.parametrize(("seed", "percent"), [(1, 85), (2, 80)])
+def test_groups_of_near_copies_equal_brute_force(spark, make_docs, seed, percent):
     rng = random.Random(seed)
     rows = []
     for length in (8, 30, 120, 400):
@@ -59,15 +60,28 @@ def test_groups_of_near_copies_equal_brute_force(spark, make_docs, seed):
         for i in range(40):
             rows.append((len(rows), " ".join(edited(rng, base, rng.randrange(0, 1 + length // 25)))))
     rng.shuffle(rows)
-    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(make_docs(rows)).collect()}
-    assert [got[i] for i, _ in rows] == brute_force(rows)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(make_docs(rows), percent=percent).collect()}
+    assert [got[i] for i, _ in rows] == brute_force(rows, percent)
+
+
+def test_least_turns_by_parts_are_those_of_the_whole(spark):
+    rows = [(key, i * 7919 % 501, bytes([i % 256, i // 256])) for key, n in (("hot", 500), ("small", 9), ("one", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "key string, turn long, node binary")
+    for most in (1, 10, 70, 1000):
+        want = {(k, t) for key in ("hot", "small", "one") for k, t in sorted((k, t) for k, t, _ in rows if k == key)[:most]}
+        for pushed in (0, 1000):
+            got = [(r["key"], r["turn"]) for r in neardup.least_turns(df, most, pushed).collect()]
+            assert len(got) == len(want) and set(got) == want
 
 
-def test_chains_where_no_centre_meets_all(spark, make_docs):
+def test_chains_where_no_centre_meets_all(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(neardup, "CENTRES", 2)
+    monkeypatch.setattr(neardup, "MORE", 2)
+    monkeypatch.setattr(neardup, "PUSHED", 1)
     # a window that slides over a long text: only neighbours are similar enough
     words = [f"w{i}" for i in range(400)]
     rows = [(i, " ".join(words[4 * i : 4 * i + 150])) for i in range(50)]
-    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(make_docs(rows)).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(make_docs(rows), percent=85).collect()}
     assert [got[i] for i, _ in rows] == brute_force(rows)
 
 
