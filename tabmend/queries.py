@@ -12,6 +12,7 @@ import tempfile
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +76,22 @@ def text_lines(df: DataFrame, key: str, columns: list[Column], header: list[str]
     return head.unionByName(body)
 
 
+def write_pieces(lines: DataFrame, path: str, first: str, between: str, last: str, lead: str = "") -> str:
+    """A folder with a file for each task's texts, which `between` parts, written side by side. Each starts and ends as given."""
+    column = lines.columns[0]
+
+    def run(batches):
+        before = first
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.record_batch([pa.array([before + between.join(batch.column(0).to_pylist())])], [column])
+                before = lead
+        yield pa.record_batch([pa.array([last if before == lead else first + last])], [column])
+
+    lines.mapInArrow(run, f"{column} string").write.text(path)
+    return path
+
+
 def typed(opened, kinds: list[str], options: Options | None = None) -> DataFrame:
     clean = kept(guard(opened.carrier, opened.width, options or Options()))
     return clean.select(*typed_columns([F.get("cells", F.lit(i)) for i in range(opened.width)], opened.names, kinds))

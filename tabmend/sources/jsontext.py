@@ -16,7 +16,7 @@ def json_values(spark: SparkSession, path: str) -> DataFrame:
     """(part, pos, value): one JSON text for each row.
 
     Files with one value on each line are split by Spark; arrays and values that
-    share or span lines go through the splitter, a task for each file.
+    share or span lines go through the splitter, in parts of files.
     """
     if jsonsplit.shape(first_file(spark, path)) == "stream":
         lines = with_order(spark.read.option("lineSep", "\n").text(path)).filter(F.trim(F.translate("value", "\r\t", "  ")) != "")
@@ -27,8 +27,9 @@ def json_values(spark: SparkSession, path: str) -> DataFrame:
 
 
 def json_columns(values: DataFrame) -> list[str]:
-    """Top-level keys of all objects, by first appearance: one aggregation with a row for each key."""
-    keys = values.select("pos", F.posexplode(F.json_object_keys("value")).alias("i", "key"))
+    """Top-level keys of all objects, by first appearance: one aggregation with a row for each list of keys, and one with a row for each key."""
+    lists = values.groupBy(F.json_object_keys("value").alias("keys")).agg(F.min("pos").alias("pos"))
+    keys = lists.select("pos", F.posexplode("keys").alias("i", "key"))
     first = keys.groupBy("key").agg(F.min(F.struct("pos", "i")).alias("first"))
     return [r["key"] for r in first.orderBy("first").collect()]
 

@@ -162,3 +162,57 @@ def test_folders_are_read_file_by_file(spark, tmp_path, monkeypatch, local):
     assert read("json") == [[str(i)] for i in range(6000)]
     assert read("sql") == [[str(i), x] for i in range(3) for x in (f"x{i}", "")]
     assert read("ods") == [[f"{x}{i}"] for i in range(3) for x in "rs"]
+
+
+ODD_VALUES = ['{"k":"a\\\\"}', '{"k":"}{[,\\"","m":[1,{"x":"é,"}]}', '{"n":{"x":[[],[1, 2]]}}', '{"k":-1.5e+3}', '{"k":"\\\\\\\\,\\"]"}', "{}"]
+
+
+@pytest.mark.parametrize("shape", ["array", "stream"])
+def test_parts_of_json_hold_every_value_once(spark, tmp_path, monkeypatch, shape):
+    values = [ODD_VALUES[i * 7 % 6] for i in range(60)]
+    text = "[" + " ,\n".join(values) + ',] x ["' if shape == "array" else "".join(v + ("\n" if i % 3 else " ") for i, v in enumerate(values)).replace('"k":', '"k":\n')
+    path = put(tmp_path, "a.json", text)
+    whole = opened(spark, path, "json")
+    for size in (37, 64):
+        monkeypatch.setattr("tabmend.sources.files.SPLIT", size)
+        source = open_source(spark, str(path), "json", Options())[0]
+        assert (source.names, [r["cells"] for r in source.carrier.orderBy("pos").collect()]) == whole[:2]
+        assert source.carrier.select("part").distinct().count() > 5
+    assert len(whole[1]) == 60
+
+
+def test_parts_of_a_dump_start_at_statements(spark, tmp_path, monkeypatch):
+    rows = [f"INSERT INTO t VALUES ({i}, 'it''s;\nINSERT INTO t VALUES (0, 0);\n'), ({i}, '\\';');\n/* ;\nINSERT INTO t VALUES (1, 1);\n */ -- '\n" for i in range(40)]
+    path = put(tmp_path, "a.sql", "CREATE TABLE u (a int);\nCREATE TABLE t (a int, b text);\n" + "".join(rows))
+    whole = opened(spark, path, "sql", table="t")
+    monkeypatch.setattr("tabmend.sources.files.SPLIT", 300)
+    assert opened(spark, path, "sql", table="t") == whole
+    assert whole[1][:2] == [["0", "it's;\nINSERT INTO t VALUES (0, 0);\n"], ["0", "';"]] and len(whole[1]) == 80
+    assert open_source(spark, str(path), "sql", Options(table="t"))[0].carrier.select("part").distinct().count() > 5
+    with pytest.raises(PySparkException):
+        from tabmend.sources.files import read_cells
+
+        read_cells(spark, "sql", str(path), "w").collect()
+
+
+def test_tokens_at_the_end_of_a_buffer(tmp_path, monkeypatch):
+    """A doubled quote, or a number's exponent, of which only the start has been read."""
+    from tabmend.sources import jsonsplit
+
+    for chunk in range(1, 9):
+        monkeypatch.setattr("tabmend.sources.sqldump.CHUNK", chunk)
+        monkeypatch.setattr("tabmend.sources.jsonsplit.CHUNK", chunk)
+        assert list(sqldump.rows(str(put(tmp_path, "a.sql", "INSERT INTO t VALUES ('a''b''', 'c');")))) == [["a'b'", "c"]]
+        assert list(jsonsplit.values(str(put(tmp_path, "a.json", "[1.5e+3, 2.25]")))) == ["1.5e+3", "2.25"]
+
+
+@pytest.mark.parametrize("name", ["json_array_orders"])
+def test_source_queries_write_and_read_side_by_side(spark, tmp_path, name):
+    """Nothing comes to the driver row by row, and the parts of the table are read as parts."""
+    import tabmend.more_queries  # noqa: F401
+    from tabmend.queries import QUERIES
+
+    spark.range(200).selectExpr("id AS o_orderkey", "'1-URGENT' AS o_orderpriority", "double(id) AS o_totalprice").repartition(4).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(200).selectExpr("id AS event_id", "'a \"b\"' AS event_type").repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    out = QUERIES[name](spark, str(tmp_path))
+    assert sorted(int(r[0]) for r in out.collect()) == list(range(200)) and out.rdd.getNumPartitions() > 1
