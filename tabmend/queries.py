@@ -394,13 +394,11 @@ def sqldump_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dumped_orders(spark: SparkSession, orders: DataFrame) -> DataFrame:
-    rows = orders.select("o_orderkey", "o_orderpriority", F.col("o_totalprice").cast("string"))
-    path = folder(spark) / "d.sql"
-    with path.open("w") as f:
-        f.write("CREATE TABLE `o` (k int, p text, t text);\n")
-        for r in rows.toLocalIterator():
-            f.write(f"INSERT INTO o VALUES ({r[0]}, '{r[1]}', {r[2]});\n")
-    return read_cells(spark, "sql", str(path), "o").select(cell(0).alias("k"), cell(1).alias("p"), cell(2).alias("t"))
+    """Dumps of the orders, a file for each part of the table."""
+    text = F.concat(F.lit("'"), F.replace("o_orderpriority", F.lit("'"), F.lit("''")), F.lit("'"))
+    values = F.format_string("INSERT INTO o VALUES (%s, %s, %s);", *(F.coalesce(c, F.lit("NULL")) for c in (F.col("o_orderkey").cast("string"), text, F.col("o_totalprice").cast("string"))))
+    path = write_pieces(orders.select(values.alias("value")), str(folder(spark) / "d"), "CREATE TABLE `o` (k int, p text, t text);\n", "\n", "")
+    return read_cells(spark, "sql", path, "o").select(cell(0).alias("k"), cell(1).alias("p"), cell(2).alias("t"))
 
 
 @query("SELECT n_nationkey::BIGINT AS k, n_name AS n, n_regionkey::BIGINT AS r FROM nation")
