@@ -206,7 +206,7 @@ def test_tokens_at_the_end_of_a_buffer(tmp_path, monkeypatch):
         assert list(jsonsplit.values(str(put(tmp_path, "a.json", "[1.5e+3, 2.25]")))) == ["1.5e+3", "2.25"]
 
 
-@pytest.mark.parametrize("name", ["json_array_orders", "sqldump_orders"])
+@pytest.mark.parametrize("name", ["json_array_orders", "sqldump_orders", "json_stream_events"])
 def test_source_queries_write_and_read_side_by_side(spark, tmp_path, name):
     """Nothing comes to the driver row by row, and the parts of the table are read as parts."""
     import tabmend.more_queries  # noqa: F401
