@@ -216,3 +216,15 @@ def test_several_files_of_two_byte_text(spark, tmp_path):
         (tmp_path / "in" / f"{i}.csv").write_bytes((("k,w\n" if i == 0 else "") + body).encode("utf-16-le"))
     opened = open_delimited(spark, str(tmp_path / "in"), Options(encoding="utf-16le", repair=False))
     assert cells(opened) == [[f"{i}{j}", f"wörd\n{j}"] for i in range(3) for j in range(4)]
+
+
+def test_quotes_inside_fields_need_no_tokenizer(spark, tmp_path):
+    """Only a quote at a field's start sends a line to Python; the others are text."""
+    from pyspark.sql import functions as F
+
+    from tabmend.sources.lines import quoted_start
+
+    lines = ['1,a"b"', '"1",b', '1,"b"', '1,b""', 'a\r"b', "plain"]
+    got = spark.createDataFrame([(x,) for x in lines], "v string").select(quoted_start(F.col("v"), ",")).collect()
+    assert [r[0] for r in got] == [False, True, True, False, True, False]
+    assert load(spark, tmp_path, 'a,b\n1,x"y"\n2,z"\n3,"p"\n')[1] == [["1", 'x"y"'], ["2", 'z""'], ["3", "p"]]

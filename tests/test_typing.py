@@ -194,3 +194,16 @@ def test_fallback_query_decodes_every_language(spark, tmp_path):
 
     out = QUERIES["fallback_decode"](spark, str(tmp_path)).collect()
     assert sorted((r["doc_id"], r["text"]) for r in out) == [r[:2] for r in rows]
+
+
+def test_plain_floats_skip_the_digit_rules(spark):
+    """Short decimals are read by one short branch, and by the same rule as long ones."""
+    from pyspark.sql import functions as F
+
+    from tabmend.functions import typed
+
+    cells = ["0", "-0", "-0.0", "0.0000000000001", "123456789012345", "1234567890123456", "-12345678901.50", "00.5", ".5", "1.", "1e3", "", None, "999999999999999.9"]
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    got = [r[0] for r in df.select(typed.parse_float(F.col("c"))).collect()]
+    assert [None if v is None else repr(v) for v in got] == ["0.0", None, "-0.0", "1e-13", "123456789012345.0", "1234567890123456.0", "-12345678901.5", None, None, None, "1000.0", None, None, None]
+    assert df.select(typed.parse_float(F.col("c")).alias("v"))._jdf.queryExecution().analyzed().toString().count("length(c#") == 1
