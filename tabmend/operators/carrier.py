@@ -19,6 +19,8 @@ BROADCAST_PARTS = 200_000
 TOP_ROWS, SPARE = 100_000, 1000
 #: Rows for which there is a part, parts at most, and rows drawn for each part's boundary.
 PART_ROWS, MOST_PARTS, SAMPLED = 500_000, 4096, 64
+#: Rows below which a part isn't split for the sake of more tasks: each costs the start of its Python workers.
+LEAST_ROWS = 25_000
 
 
 def with_order(df: DataFrame) -> DataFrame:
@@ -88,28 +90,51 @@ def boundaries(df: DataFrame, order: list[str]) -> list[Row]:
     """Quantiles of the order's columns, from about SAMPLED rows for each part. A hash picks them, so that they are the same whenever they are asked for."""
     keys = df.select(*order)
     n = keys.count()
-    parts = min(MOST_PARTS, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // PART_ROWS)))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(MOST_PARTS, max(-(-n // PART_ROWS), min(tasks, -(-n // LEAST_ROWS)), 1))
     each = max(1, n // (SAMPLED * parts))
     drawn = keys.filter(F.pmod(F.xxhash64(*order), F.lit(each)) == 0).distinct().orderBy(*order).collect()  # some SAMPLED * MOST_PARTS at most
     return [drawn[i * len(drawn) // parts] for i in range(1, parts)] if len(drawn) >= parts else drawn
 
 
 def rank_among(value: Column, ends: list[Column]) -> Column:
-    """The number of sorted boundaries at or below a value, by a tree of comparisons."""
+    """The number of sorted boundaries at or below a value, by halving steps over one literal that holds them all."""
     if not ends:
         return F.lit(0).cast("long")
-    middle = len(ends) // 2
-    above = rank_among(value, ends[middle + 1 :]) + (middle + 1)
-    return F.when(value >= ends[middle], above).otherwise(rank_among(value, ends[:middle]))
+    known = F.array(*ends)
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(ends).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda n, step: n + F.when(F.get(known, n + step - 1) <= value, step).otherwise(0)).cast("long")
 
 
-def from_rows(df: DataFrame, order: list[str]) -> DataFrame:
-    """Any DataFrame as a carrier, ordered by columns: a task for each range of them, sorted.
+def by_ranges(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
+    """`part` and `pos` by ranges of the order's columns for rows that stay where they are, and the number of parts.
 
     Ranges and places depend on the rows alone, so every pass sees the same parts;
     Spark's own range partitioning draws its boundaries anew each time.
     """
     ends = boundaries(df, order)
     at = F.struct(*order)
-    parts = df.withColumn("part", rank_among(at, [place(e) for e in ends])).withColumn("pos", at)
-    return parts.repartitionById(len(ends) + 1, F.col("part").cast("int")).sortWithinPartitions("part", "pos")
+    return df.withColumn("part", range_of(order, ends, df.select(at.alias("pos")).schema["pos"].dataType)).withColumn("pos", at), len(ends) + 1
+
+
+def range_of(order: list[str], ends: list[Row], kind: T.StructType) -> Column:
+    """The number of boundaries at or below a row. Its first column tells, which is compared faster, except where it equals a boundary's."""
+    whole = rank_among(F.struct(*order), [place(e).cast(kind) for e in ends])
+    if not ends or any(e[0] is None for e in ends):
+        return whole
+    firsts = [place(e[0]).cast(kind[0].dataType) for e in ends]
+    value = F.col(order[0])
+    if len(order) == 1:
+        return rank_among(value, firsts)
+    same = lambda n: F.get(F.array(*firsts), n.cast("int") - 1) == value
+    return F.get(F.transform(F.array(rank_among(value, firsts)), lambda n: F.when(same(n), whole).otherwise(n)), F.lit(0))
+
+
+def dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows with `part` and `pos` as a carrier: a task for each part, sorted."""
+    return rows.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "pos")
+
+
+def from_rows(df: DataFrame, order: list[str]) -> DataFrame:
+    """Any DataFrame as a carrier, ordered by columns: a task for each range of them, sorted."""
+    return dealt(*by_ranges(df, order))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,51 +52,89 @@ def _joined_in_parts(width: int, names: list[str]):
     """Joins within a part; rows that hang on the parts around are marked `edge`.
 
     A row after one that is not short always heads a run, so a part is on its own
-    from its first such row, and up to the short rows at its end.
+    from its first such row, and up to the short rows at its end. Only rows that are
+    joined become Python's; all others leave as the Arrow values that they came as.
     """
-    counters = [i for i, n in enumerate(names) if n.startswith("n_")]
     cells, part_at = names.index("cells"), names.index("part")
+    summed = [i for i, n in enumerate(names) if n.startswith("n_")]
 
-    def fold(run: list[list]) -> list[list]:
-        rows, at = [], 0
-        for took in greedy_joins([len(r[cells]) for r in run], width):
-            group = run[at : at + took + 1]
-            row = list(group[0])
+    def joins(widths: list[int], first: int, heads: list[int], tooks: list[int]) -> None:
+        """The joins of one run that starts at row `first`."""
+        at = first
+        for took in greedy_joins(widths, width):
             if took:
-                row[cells] = join_rows([g[cells] for g in group])
-                for i in counters:
-                    row[i] = sum(g[i] for g in group)
-            rows.append([*row, took, False])
+                heads.append(at)
+                tooks.append(took)
             at += took + 1
-        return rows
 
-    def emit(rows, schema):
-        return pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
+    def made(columns: list[pa.Array], heads: list[int], tooks: list[int], edge, stop: int, schema: pa.Schema) -> pa.RecordBatch:
+        """The rows before `stop`, with the joined ones in their heads' places."""
+        gone, n_join, index = np.zeros(stop, bool), np.zeros(stop, np.int32), np.arange(stop)
+        if heads:
+            at, took = np.array(heads), np.array(tooks)
+            n_join[at] = took
+            index[at] = len(columns[cells]) + np.arange(len(at))
+            members = np.repeat(at, took + 1) + np.arange(int((took + 1).sum())) - np.repeat(np.cumsum(took + 1) - took - 1, took + 1)
+            gone[members] = True
+            gone[at] = False
+            lists, joined, start = columns[cells].take(pa.array(members)).to_pylist(), [], 0
+            for n in tooks:
+                joined.append(join_rows(lists[start : start + n + 1]))
+                start += n + 1
+            own = {cells: joined}
+            for i in summed:
+                sums = np.concatenate([[0], np.cumsum(columns[i].fill_null(0).to_numpy(zero_copy_only=False))])
+                own[i] = sums[at + took + 1] - sums[at]
+            columns = [pa.concat_arrays([c, pa.array(own[i], c.type)]) if i in own else c for i, c in enumerate(columns)]
+        else:
+            own = {}
+        keep = np.flatnonzero(~gone)
+        if len(keep) == len(columns[part_at]) and not own:
+            out = columns
+        else:
+            out = [c.take(pa.array(index[keep] if i in own else keep)) for i, c in enumerate(columns)]
+        return pa.RecordBatch.from_arrays([*out, pa.array(n_join[keep]), pa.array(edge[keep])], schema=schema)
 
     def run(batches):
-        schema, pending, part, settled = None, [], None, False
+        schema, held, part, settled = None, None, None, False
         for batch in batches:
+            if not batch.num_rows:
+                continue
             schema = schema or pa.schema([*batch.schema, pa.field("n_join", pa.int32()), pa.field("edge", pa.bool_())])
-            out: list[list] = []
-            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                row = list(values)
-                if row[part_at] != part:
-                    out += [[*r, 0, True] for r in pending]
-                    pending, part, settled = [], row[part_at], False
-                pending.append(row)
-                if 0 < len(row[cells]) < width and len(pending) < LONGEST_RUN:
-                    continue
-                if 0 < len(row[cells]) < width:  # a long run of short rows: all but its last rows are decided
-                    if settled:
-                        done, pending = _decided(pending, cells, width, fold)
-                        out += done
-                    continue
-                out += fold(pending) if settled else [[*r, 0, True] for r in pending]
-                pending, settled = [], True
-            if out:
-                yield emit(out, schema)
-        if pending:
-            yield emit([[*r, 0, True] for r in pending], schema)
+            columns = batch.columns if held is None else [pa.concat_arrays([h, c]) for h, c in zip(held, batch.columns, strict=True)]
+            parts = columns[part_at].to_numpy(zero_copy_only=False)
+            widths = columns[cells].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            short, size = (widths > 0) & (widths < width), len(parts)
+            edge, heads, tooks, stop = np.zeros(size, bool), [], [], size
+            cuts = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), size]
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if parts[start] != part:
+                    part, settled = parts[start], False
+                full = np.flatnonzero(~short[start:end]) + start
+                if not settled:
+                    first = int(full[0]) + 1 if len(full) else end
+                    edge[start:first] = True
+                    settled, start = len(full) > 0, first
+                last = int(full[-1]) + 1 if len(full) else start  # short rows from here on have no end in sight
+                inside = np.flatnonzero(short[start:last]) + start
+                if len(inside):
+                    breaks = np.flatnonzero(np.diff(inside) > 1)
+                    for a, b in zip(inside[np.concatenate([[0], breaks + 1])].tolist(), inside[np.append(breaks, len(inside) - 1)].tolist(), strict=True):
+                        joins(widths[a : b + 2].tolist(), a, heads, tooks)
+                while settled and end - last >= LONGEST_RUN:  # of a long run of short rows, all but the last are decided, by its rows alone
+                    tail = widths[last : last + LONGEST_RUN].tolist()
+                    cut = _decided(tail, width)
+                    joins(tail[:cut], last, heads, tooks)
+                    last += cut
+                if end < size:
+                    edge[last:end] = True
+                elif settled:
+                    stop = last
+            if stop:
+                yield made([c.slice(0, stop) for c in columns], heads, tooks, edge[:stop], stop, schema)
+            held = [c.slice(stop) for c in columns] if stop < size else None
+        if held is not None:
+            yield made(held, [], [], np.ones(len(held[0]), bool), len(held[0]), schema)
 
     return run
 
@@ -104,41 +143,44 @@ def _joined_in_parts(width: int, names: list[str]):
 LONGEST_RUN = 4096
 
 
-def _decided(pending, cells, width, fold):
-    """Joins whose head has all its JOIN_LOOKAHEAD rows in sight, and the rows after them."""
-    widths = [len(r[cells]) for r in pending]
-    at, cut = 0, 0
+def _decided(widths: list[int], width: int) -> int:
+    """How many first rows of a run belong to joins whose head has all its JOIN_LOOKAHEAD rows in sight."""
+    at = 0
     for took in greedy_joins(widths, width):
         if at + JOIN_LOOKAHEAD >= len(widths):
             break
         at += took + 1
-        cut = at
-    return fold(pending[:cut]), pending[cut:]
+    return at
 
 
-def join_broken(carrier: DataFrame, width: int) -> DataFrame:
+def join_broken(carrier: DataFrame, width: int, loose: DataFrame | None = None) -> DataFrame:
     """Records that line breaks cut are put together again; n_join counts rows that were taken in.
 
     Only rows at the edges of parts, between the last full row of one part and the
-    first of a later one, are shuffled.
+    first of a later one, are shuffled. They are found by each part's first and last full
+    row, for which `loose`, the carrier's rows in any place, is enough.
     """
     names = carrier.columns
+    loose = carrier if loose is None else loose.select(names)
     schema = T.StructType(list(carrier.schema.fields)).add("n_join", "integer").add("edge", "boolean")
-    inside = carrier.mapInArrow(_joined_in_parts(width, names), schema)
+    joined = _joined_in_parts(width, names)
+    inside = carrier.mapInArrow(joined, schema)
     # an edge row's run: the number of parts' heads (first full row seen) before it
     full = ~((F.size("cells") > 0) & (F.size("cells") < width))
-    edges = inside.filter("edge")
-    ends = edges.groupBy("part").agg(F.sum(full.cast("int")).alias("heads"))
-    table = [(r["part"], r["heads"]) for r in ends.orderBy("part").collect()]
+    at = F.when(full, F.col("pos"))
+    ends = loose.groupBy("part").agg(F.min(at).alias("head"), F.max(at).alias("last")).orderBy("part").collect()
     before, rows = 0, []
-    for part, heads in table:
-        rows.append((part, before))
-        before += heads
+    for r in ends:
+        rows.append((r["part"], before, r["head"], r["last"]))
+        before += r["head"] is not None
     if not rows:
         return inside.drop("edge")
-    starts = by_part_size(carrier.sparkSession.createDataFrame(rows, "part long, before long"))
-    firsts = edges.filter(full).groupBy("part").agg(F.min("pos").alias("head"))
-    placed = edges.join(starts, "part").join(firsts, "part", "left").withColumn("run", F.col("before") + F.coalesce((F.col("pos") > F.col("head")).cast("int"), F.lit(0)))
+    place = carrier.schema["pos"].dataType
+    starts = by_part_size(carrier.sparkSession.createDataFrame(rows, T.StructType().add("part", "long").add("before", "long").add("head", place).add("last", place)))
+    near = loose.join(starts, "part").filter(F.col("head").isNull() | (F.col("pos") <= F.col("head")) | (F.col("pos") >= F.col("last")))
+    near = near.select(names).repartition("part").sortWithinPartitions("part", "pos")
+    edges = near.mapInArrow(joined, schema).filter("edge")
+    placed = edges.join(starts, "part").withColumn("run", F.col("before") + F.coalesce((F.col("pos") > F.col("head")).cast("int"), F.lit(0)))
     row = F.struct("pos", *(c for c in names if c != "pos"))
     runs = placed.groupBy("run").agg(F.sort_array(F.collect_list(row)).alias("rows"))
 

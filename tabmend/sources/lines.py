@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tabmend.config import DETECT_BYTES
 from tabmend.functions import charset
-from tabmend.operators.carrier import by_part_size, first_rows, from_rows, place, with_order
+from tabmend.operators.carrier import by_part_size, by_ranges, dealt, first_rows, place, with_order
 from tabmend.operators.names import positional_names
 from tabmend.operators.repair import drop_trailing, join_broken, realign
 from tabmend.options import ConversionError, Options
@@ -167,13 +167,12 @@ def any_open(lines: DataFrame, delimiter: str) -> bool:
 
 
 def assemble(lines: DataFrame, delimiter: str) -> DataFrame:
-    """Lines of one quoted record joined by line feeds; others pass through where they are.
+    """Lines of one quoted record joined by line feeds; others pass through where they are."""
+    return assembled(lines, delimiter) if any_open(lines, delimiter) else lines
 
-    The parts' entry states follow from one small row for each part.
-    """
 
-    if not any_open(lines, delimiter):
-        return lines
+def assembled(lines: DataFrame, delimiter: str) -> DataFrame:
+    """The same where a line is known to leave a quote open. The parts' entry states follow from one small row for each part."""
     schema = T.StructType(list(lines.schema.fields))
     for entry in "01":
         schema = schema.add(f"in{entry}", "boolean").add(f"out{entry}", "boolean").add(f"rec{entry}", "long")
@@ -292,10 +291,11 @@ def open_delimited(spark: SparkSession, path: str, options: Options) -> Delimite
     return _opened(records(lines, options), options)
 
 
-def _opened(rows: DataFrame, options: Options) -> Delimited:
+def _opened(rows: DataFrame, options: Options, loose: DataFrame | None = None) -> Delimited:
+    """loose: the same rows in any place, for what doesn't ask for their order."""
     # a record's place: its line's, then its place in the line
-    rows = rows.withColumn("pos", F.struct("pos", "sub")).drop("sub")
-    first = first_rows(rows.select("pos", "cells"), 1).collect()
+    both = [r.withColumn("pos", F.struct("pos", "sub")).drop("sub") for r in (rows, rows if loose is None else loose)]
+    first = first_rows(both[1].select("pos", "cells"), 1).collect()
     if not first:
         raise ConversionError("CSV file has no rows")
     head = first[0]
@@ -305,12 +305,13 @@ def _opened(rows: DataFrame, options: Options) -> Delimited:
         names = list(head["cells"])
         if options.trailing_delimiter and len(names) > 1 and names[-1] == "":
             names = names[:-1]
-        rows = rows.filter(F.col("pos") > place(head["pos"]))
+        both = [r.filter(F.col("pos") > place(head["pos"])) for r in both]
     width = len(names)
     if options.trailing_delimiter:
-        rows = drop_trailing(rows, width)
+        both = [drop_trailing(r, width) for r in both]
+    rows = both[0]
     if options.join_lines:
-        rows = join_broken(rows, width)
+        rows = join_broken(rows, width, both[1])
     if options.realign:
         rows = realign(rows, width, options.delimiter)
     return Delimited(names, rows)
@@ -321,10 +322,14 @@ def from_text(lines: DataFrame, order: list[str], options: Options) -> Delimited
     lines = lines.withColumn("n_fallback", F.lit(0))
     lines = close_quotes(lines) if options.quoting and options.repair else lines.withColumn("n_quote", F.lit(0))
     own = ["part", "pos", "value", "n_fallback", "n_quote"]
-    if options.join_lines or options.realign or options.quoting and any_open(lines, options.delimiter):
-        lines = from_rows(lines, order).select(own)
-        if options.quoting:
-            lines = assemble(lines, options.delimiter)
+    spans = options.quoting and any_open(lines, options.delimiter)
+    if options.join_lines or options.realign or spans:
+        loose, parts = by_ranges(lines, order)
+        loose = loose.select(own)
+        lines = dealt(loose, parts)
+        if not spans:
+            return _opened(records(lines, options), options, records(loose, options))
+        lines = assembled(lines, options.delimiter)
     else:  # nothing looks from one line to the next, so the order's columns are place enough
         lines = lines.withColumn("part", F.lit(0).cast("long")).withColumn("pos", F.struct(*order)).select(own)
     return _opened(records(lines, options), options)

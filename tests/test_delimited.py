@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tabmend.config import JOIN_LOOKAHEAD, REALIGN_EXTRA
+from tabmend.operators.carrier import boundaries, by_ranges, from_rows, rank_among
 from tabmend.operators.repair import drop_trailing, join_broken, realign
 from tabmend.options import ConversionError, Options
 from tabmend.sources.lines import ends_open, from_text, open_delimited, physical_lines, split_quoted
@@ -128,6 +129,59 @@ def test_joins_follow_the_rule_for_any_parts(spark, seed):
         assert sum(r["n_join"] for r in got) == joined
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_joins_of_a_table_over_many_parts_read_it_whole_once(spark, monkeypatch, seed):
+    """Parts' edges are read apart from the rest, small batches and long runs of short rows included."""
+    monkeypatch.setattr("tabmend.operators.carrier.LEAST_ROWS", 1)
+    monkeypatch.setattr("tabmend.operators.repair.LONGEST_RUN", 10)
+    rng = random.Random(seed)
+    rows = [["k", "t", "n"]]
+    for i in range(200):
+        rows += rng.choice([[[f"{i}", "x", "y"]], [[f"{i}", "x"], ["more", "y"]], [[f"{i}"]], [["a", "b"]] * rng.randrange(1, 30), [[f"{i}", "x", "y", "z"]]])
+    expected, joined = by_rule(rows[1:], 3)
+    df = spark.createDataFrame([(i // 3, i % 3, ",".join(r)) for i, r in enumerate(rows)], "at long, line int, value string").repartition(3, "value")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        opened = from_text(df, ["at", "line"], Options(join_lines=True))
+        # all rows, those at the edges, and their merge
+        assert opened.carrier._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 3
+        got = opened.carrier.orderBy("pos").collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert [r["cells"] for r in got] == expected
+    assert sum(r["n_join"] for r in got) == joined
+    assert len({r["part"] for r in got}) > 5
+
+
+def test_rows_are_dealt_by_their_number(spark):
+    """A few rows make one task, however many the session has, and boundaries don't make the plan grow."""
+    from pyspark.sql import functions as F
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        assert from_rows(spark.range(3000).select(F.col("id").alias("at")), ["at"]).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert str(rank_among(F.col("at"), [F.lit(i) for i in range(100)])).count("WHEN") == 1
+
+
+def test_ranges_are_in_order_and_equal_rows_lie_together(spark, monkeypatch):
+    monkeypatch.setattr("tabmend.operators.carrier.PART_ROWS", 10)
+    rng = random.Random(3)
+    keys = [(rng.choice([None, *range(6)]), rng.choice([None, "", "a", "é", "zz"]), rng.randrange(3)) for _ in range(400)]
+    df = spark.createDataFrame([(*k,) for k in keys] * 2, "a int, b string, c int")
+    small = lambda k: tuple((x is not None, x) for x in k)
+    for order, rows in ((["a", "b", "c"], df), (["b", "a"], df), (["b"], df), (["a", "c"], df.filter("a is not null"))):
+        ends = sorted({tuple(r) for r in boundaries(rows, order)}, key=small)
+        assert len(ends) > 3
+        for r in by_ranges(rows, order)[0].collect():
+            assert r["part"] == sum(small(e) <= small([r[k] for k in order]) for e in ends)
+
+
 def readings(row, width, kinds):
     """Ways to put a row's surplus cells back into one text column."""
     extra = len(row) - width
